@@ -94,8 +94,9 @@ def mix(
     code point, null last, and weigh weights in turn, repeating.  copies says
     how often the mix takes the whole document, at most `most` times, and
     places has (epoch, shard, block, position) for each copy; ordering a shard
-    by position is its local shuffle.  Each source's taken words are within a
-    document of its target.  A source without words has target 0 and takes
+    by position is its local shuffle.  Each source's taken words are within one
+    document of its target, and within the best fit of one document to the
+    gap that the order leaves.  A source without words has target 0 and takes
     nothing.  Rows with a repeated id are documents of their own; equal rows
     are interchangeable.  An empty table gives no rows.  The same rows and
     seed give the same mix, however they are partitioned.
@@ -141,9 +142,20 @@ def mix(
         .withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
         .join(F.broadcast(per_source), "source")
     )  # at most MAX_SOURCES rows are sent
-    # the last epoch takes what starts nearest: a document is in if its middle is before the cut
+    placed = written(placed, "mix-placed")
+    # the last epoch takes the documents that end before the cut, and of the others the one that fits the gap best
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = F.when((F.col("start") + F.col("size") / 2 < rest) & (F.col("epochs") < most) & (F.col("size") > 0), 1).otherwise(0)
+    words = (F.col("size") > 0) & (F.col("epochs") < most)
+    early = words & (F.col("start") + F.col("size") <= rest)
+    gaps = placed.where(early | words).groupBy("source").agg(
+        (F.first(rest) - F.coalesce(F.max(F.when(early, F.col("start") + F.col("size"))), F.lit(0))).alias("gap")
+    )
+    later = placed.where(words & ~early).join(F.broadcast(gaps), "source").where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    fit = later.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "size", "h", "id", "start")).alias("fit"))
+    fit = fit.select("source", F.col("fit.h").alias("fit_h"), F.col("fit.id").alias("fit_id"), F.col("fit.start").alias("fit_start"))
+    placed = placed.join(F.broadcast(fit), "source", "left")  # a row a source at most
+    fits = (F.col("h") == F.col("fit_h")) & F.col("id").eqNullSafe(F.col("fit_id")) & (F.col("start") == F.col("fit_start"))
+    extra = F.when(early | F.coalesce(fits, F.lit(False)), 1).otherwise(0)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).cast("int"))
     last = F.greatest(F.get("ends", F.lit(shards - 1)), F.lit(1)) - 1
 
