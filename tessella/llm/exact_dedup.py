@@ -24,6 +24,7 @@ from tessella.llm.common import SPACE, semi, utf8_batches, written
 PRIMES = (2147483647, 2147483629)
 POINTS = (1299709321, 1878230267)
 CHUNK = 1 << 16
+WORDS = 1 << 17
 _DELETED = b" \t\n\x0b\x0c\r"
 
 
@@ -86,18 +87,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(hashed, "id long, n_chars long, h long, length long, text_sha256 string")
 
 
+def _filter_of(ids: DataFrame) -> DataFrame:
+    """(word, bits) of a Bloom filter with one hash over the ids: WORDS rows at most, however many ids."""
+    hashed = ids.select(F.xxhash64("id").alias("x"))
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    return hashed.select(_word(F.col("x")).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _word(x):
+    return F.pmod(F.shiftrightunsigned(x, 6), F.lit(WORDS)).cast("int")
+
+
 def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """Ids of members (id, h, length, leader) whose normalised text differs from their leader's."""
+    """Ids of members (id, h, length, leader) whose normalised text differs from their leader's.
+
+    A filter of fixed size keeps most texts without copies from being
+    shuffled; what it lets through by chance the join drops.  Merge joins move
+    the same share of the input at every size.
+    """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", "")
     n = F.ceil(F.length("norm") / chunk).cast("int")
     part = F.transform(
         F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
         lambda k: F.struct(k.alias("k"), F.col("norm").substr(k * chunk + 1, F.lit(chunk)).alias("chunk")),
     )
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("norm"))
-    chunks = source.join(members, "id").select("id", "h", "length", "leader", F.inline(part))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col)).withColumn("x", F.xxhash64("id"))
+    maybe = rows.join(F.broadcast(_filter_of(members)), _word(F.col("x")) == F.col("word"))  # WORDS rows of 12 bytes at most
+    maybe = maybe.where(F.expr("(shiftrightunsigned(bits, cast(x & 63 as int)) & 1) = 1")).select("id", text.alias("norm"))
+    chunks = maybe.join(members.hint("merge"), "id").select("id", "h", "length", "leader", F.inline(part))
+    chunks = written(chunks, "chunks")
     leaders = chunks.where("id = leader").select("h", "length", "leader", "k", F.col("chunk").alias("of_leader"))
-    both = chunks.where("id <> leader").join(leaders, ["h", "length", "leader", "k"], "left")
+    both = chunks.where("id <> leader").join(leaders.hint("merge"), ["h", "length", "leader", "k"], "left")
     return both.where(~F.col("chunk").eqNullSafe(F.col("of_leader"))).select("id").distinct()
 
 
@@ -118,8 +138,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = written(fingerprints(docs, id_col, text_col, chunk), "fingerprints")
     key = ["h", "length"]
-    several = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select(*key, "leader")
-    members = written(rows.join(several, key).where("id is not null and leader is not null").select("id", *key, "leader").distinct(), "members")
+    several = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    texts = rows.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in key for f in (F.min, F.max)))
+    ambiguous = texts.where("id is not null and (min_h <> max_h or min_length <> max_length)").select("id")
+    copies = rows.where("id is not null").join(several, key, "left_semi").join(ambiguous, "id", "left_anti").select("id", *key).distinct()
+    members = written(copies.join(copies.groupBy(*key).agg(F.min("id").alias("leader")), key), "members")
     classes = rows.withColumn("class", F.lit(0))
     level = 0
     while True:
