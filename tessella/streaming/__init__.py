@@ -1,0 +1 @@
+"""The engine is a batch engine: no operator of its inventory works on streams."""
