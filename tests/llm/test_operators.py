@@ -322,7 +322,7 @@ def test_binomial_bounds():
 
 
 def test_cutoffs_are_certified_per_stratum(spark):
-    good = [(k, f"{'plain words here ' * 4}{k} " + " ".join(f"w{k}x{j}" for j in range(20)), ("en", "de")[k >= 600]) for k in range(640)]
+    good = [(k, f"{'plain words here ' * 2}{k} " + " ".join(f"w{k}x{j}" for j in range(20)), ("en", "de")[k >= 600]) for k in range(640)]
     bad = [(1000 + k, " ".join(f"### w{k}y{j}" for j in range(30)), ("en", "de")[k % 2]) for k in range(20)]
     df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, _, _ in good + bad], "doc_id long, quality int, toxic int")
