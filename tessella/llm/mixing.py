@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, literal_rows, written
 
 MAX_SOURCES = 10_000
+#: Documents that may fill the gap between a source's target and the documents that its order takes.
+FILLERS = 48
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -95,8 +97,8 @@ def mix(
     how often the mix takes the whole document, at most `most` times, and
     places has (epoch, shard, block, position) for each copy; ordering a shard
     by position is its local shuffle.  Each source's taken words are within one
-    document of its target, and within the best fit of one document to the
-    gap that the order leaves.  A source without words has target 0 and takes
+    document of its target; the gap that the order leaves is filled by the
+    FILLERS largest documents, as they fit, and the best-fitting one.  A source without words has target 0 and takes
     nothing.  Rows with a repeated id are documents of their own; equal rows
     are interchangeable.  An empty table gives no rows.  The same rows and
     seed give the same mix, however they are partitioned.
@@ -143,19 +145,31 @@ def mix(
         .join(F.broadcast(per_source), "source")
     )  # at most MAX_SOURCES rows are sent
     placed = written(placed, "mix-placed")
-    # the last epoch takes the documents that end before the cut, and of the others the one that fits the gap best
+    # The last epoch takes the documents that end before the cut.  The next one may be huge, so the gap that is left is
+    # filled by the largest later ones that fit, one after the other, and then by the one that fits the rest best.
+    # A document's start names it within its source, since only documents with words are taken.
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     words = (F.col("size") > 0) & (F.col("epochs") < most)
     early = words & (F.col("start") + F.col("size") <= rest)
-    gaps = placed.where(early | words).groupBy("source").agg(
-        (F.first(rest) - F.coalesce(F.max(F.when(early, F.col("start") + F.col("size"))), F.lit(0))).alias("gap")
-    )
-    later = placed.where(words & ~early).join(F.broadcast(gaps), "source").where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-    fit = later.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "size", "h", "id", "start")).alias("fit"))
-    fit = fit.select("source", F.col("fit.h").alias("fit_h"), F.col("fit.id").alias("fit_id"), F.col("fit.start").alias("fit_start"))
-    placed = placed.join(F.broadcast(fit), "source", "left")  # a row a source at most
-    fits = (F.col("h") == F.col("fit_h")) & F.col("id").eqNullSafe(F.col("fit_id")) & (F.col("start") == F.col("fit_start"))
-    extra = F.when(early | F.coalesce(fits, F.lit(False)), 1).otherwise(0)
+    gaps = placed.where(words).groupBy("source").agg((F.first(rest) - F.coalesce(F.max(F.when(early, F.col("start") + F.col("size"))), F.lit(0))).alias("gap"))
+    later = placed.where(words & ~early).select("source", "size", "h", "start").join(F.broadcast(gaps), "source")
+    largest = Window.partitionBy("source").orderBy(F.desc("size"), "h", "start")
+    fitting = later.where(F.col("size") <= F.col("gap")).withColumn("nth", F.row_number().over(largest)).where(F.col("nth") <= FILLERS)
+    candidates = F.sort_array(F.collect_list(F.struct("nth", "size", "start")))  # FILLERS at most
+    nothing = F.struct(F.first("gap").alias("left"), F.array().cast("array<bigint>").alias("starts"))
+    filled = fitting.groupBy("source").agg(
+        F.aggregate(
+            candidates, nothing,
+            lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["starts"], F.array(c["start"])).alias("starts"))).otherwise(acc),
+        ).alias("filled")
+    )
+    filled = written(gaps.join(filled, "source", "left").select(F.col("source").alias("of"), F.coalesce("filled.left", "gap").alias("left"), F.coalesce("filled.starts", F.array().cast("array<bigint>")).alias("starts")), "mix-filled")
+    off = F.abs(F.col("size") - F.col("left"))
+    free = later.join(F.broadcast(filled), F.col("source") == F.col("of")).where((off < F.col("left")) & ~F.array_contains("starts", F.col("start")))
+    fit = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", "h", "start")).alias("fit"))
+    chosen = filled.join(fit, F.col("of") == F.col("source"), "left").select("of", F.concat("starts", F.when(F.col("fit").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("fit.start"))).alias("starts"))
+    placed = placed.join(F.broadcast(chosen), F.col("source") == F.col("of"), "left")  # a row a source at most, of FILLERS numbers
+    extra = F.when(early | (words & F.coalesce(F.array_contains("starts", F.col("start")), F.lit(False))), 1).otherwise(0)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).cast("int"))
     last = F.greatest(F.get("ends", F.lit(shards - 1)), F.lit(1)) - 1
 
