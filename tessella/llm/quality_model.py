@@ -8,15 +8,19 @@ documents are selected.
 
 Features are presences of hashed words, word beginnings and style marks
 (shares of symbols, capitals, repeated words and the like, in bins) of the
-whole text.  Weights are fitted on a bounded sample of labelled documents by
-follow-the-regularised-leader; the sparse penalty removes words seen rarely.
+whole text.  Those are used whose score test against some tail of the grades
+is significant in a bounded sample of labelled documents; their weights and
+the thresholds minimise the sample's elastic-net likelihood by full-batch
+steps.  A text is scored by its words' few active features, which workers
+remember by word.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, log
+from math import fsum, log
 from zlib import crc32
 
 import numpy as np
@@ -26,41 +30,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import utf8_batches, written
-from tessella.llm.ftrl import FTRL
 
 BITS = 20
+BEGINNINGS = (3, 4, 5, 6)
+#: Words that a worker remembers at once; longer words are never remembered.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
+_CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
 @dataclass(frozen=True)
 class Fit:
     #: expected number of labelled documents in the sample: the only rows the model is fitted on
     sample: int = 12_000
-    epochs: int = 6
-    alpha: float = 0.3
-    #: at a full sample; it falls with the square root of the sample's size, as the sums of gradients do
-    l1: float = 6.0
-    l2: float = 1.0
+    #: standard deviations of the score test, and documents, that a feature needs
+    least_z: float = 4.0
+    least_documents: int = 3
+    steps: int = 300
+    rate: float = 0.1
+    l1: float = 1.0
+    l2: float = 0.1
     seed: int = 11
 
 
+def _hash(name: str) -> int:
+    return crc32(name.encode()) & ((1 << BITS) - 1)
+
+
 def _bin(x: float) -> int:
     """Shares in powers of two: 0 for none, to 12."""
     return 0 if x <= 0 else max(1, min(12, 10 + int(log(x, 2))))
 
 
-def features(text: str) -> np.ndarray:
-    """Distinct hashed features of a whole text, sorted."""
-    words = _LETTERS.findall(text.lower())
+def _of_word(word: str) -> set[int]:
+    return {_hash(word), *(_hash(f"p:{word[:n]}") for n in BEGINNINGS if len(word) >= n)}
+
+
+def _style(text: str, words: list[str]) -> set[int]:
     raw = text.split()
     n, chars = max(1, len(raw)), max(1, len(text))
-    distinct = set(words)
     lines = [line for line in text.split("\n") if line.strip()]
     letters = max(1, sum(map(len, words)))
     style = (
         ("sym", _bin(len(_SYMBOLS.findall(text)) / n)),
-        ("cap", _bin((chars - len(_lower_same(text))) / letters)),
+        ("cap", _bin(len(_CAPITALS.findall(text)) / letters)),
         ("bang", _bin(text.count("!") / n)),
         ("bar", _bin(text.count("|") / n)),
         ("digit", _bin(sum(map(text.count, "0123456789")) / chars)),
@@ -70,24 +84,22 @@ def features(text: str) -> np.ndarray:
         ("len", int(log(n, 2))),
         ("wl", min(20, int(letters / max(1, len(words))))),
     )
-    names = {f"s:{k}:{v}" for k, v in style}
-    names.update(distinct)
-    names.update({f"p:{w[:4]}" for w in distinct})
-    mask = (1 << BITS) - 1
-    return np.unique(np.array([crc32(x.encode()) & mask for x in names], np.uint32))
-
+    return {_hash(f"s:{k}:{v}") for k, v in style}
 
-def _lower_same(text: str) -> str:
-    """The text without its capital letters."""
-    return _CAPITALS.sub("", text)
 
-
-_CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
+def features(text: str) -> np.ndarray:
+    """Distinct hashed features of a whole text, sorted."""
+    words = _LETTERS.findall(text.lower())
+    found = _style(text, words)
+    for w in set(words):
+        found |= _of_word(w)
+    return np.array(sorted(found), np.uint32)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray | None  # None: nothing was labelled
+    #: by feature, those that have one; None: nothing was labelled
+    weights: dict[int, float] | None
     thresholds: tuple[float, ...] = (0.0,)
 
     def tails(self, score: Column) -> list[Column]:
@@ -95,42 +107,85 @@ class Model:
         return [1 / (1 + F.exp(F.lit(t) - score)) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[int, np.ndarray]], grades: int, how: Fit) -> Model:
-    """A model of (grade, features) rows."""
+class Scorer:
+    """score(text): the latent score of a whole text."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+        self._active: dict[str, tuple[int, ...]] = {}
+
+    def score(self, text: str) -> float:
+        words = _LETTERS.findall(text.lower())
+        found = {h for h in _style(text, words) if h in self.weights}
+        for w in set(words):
+            active = self._active.get(w)
+            if active is None:
+                active = tuple(h for h in _of_word(w) if h in self.weights)
+                if len(w) <= REMEMBERED_CHARS:
+                    if len(self._active) >= REMEMBERED:
+                        self._active.clear()
+                    self._active[w] = active
+            found.update(active)
+        return fsum(self.weights[h] for h in found)
+
+
+def significant(counts: np.ndarray, sizes: np.ndarray, how: Fit) -> np.ndarray:
+    """Features whose score test against a tail of the grades is significant.
+
+    counts: (grades, features) documents of each grade that have the feature; sizes: documents of each grade.
+    """
+    n, df = sizes.sum(), counts.sum(axis=0)
+    keep = np.zeros(counts.shape[1], bool)
+    for k in range(len(sizes) - 1):
+        p = sizes[k + 1 :].sum() / n
+        score = counts[k + 1 :].sum(axis=0) - p * df
+        keep |= np.abs(score) > how.least_z * np.sqrt(p * (1 - p) * df * (1 - df / n)) + 1e-9
+    return np.flatnonzero(keep & (df >= how.least_documents))
+
+
+def fit(rows: list[tuple[int, np.ndarray]], ids: np.ndarray, grades: int, how: Fit) -> Model:
+    """A model of (grade, positions in ids) rows; ids are the features that may have a weight."""
     if not rows:
         return Model(None, tuple(float(k) for k in range(grades - 1)))
-    rng = np.random.default_rng(how.seed)
-    learner = FTRL(1 << BITS, how.alpha, 1.0, how.l1 * min(1.0, len(rows) / how.sample) ** 0.5, how.l2)
-    counts = np.bincount([g for g, _ in rows], minlength=grades) + 1.0
-    below = np.cumsum(counts)[:-1] / counts.sum()
-    t = np.log(below / (1 - below))
-    sigmoid = lambda x: 1 / (1 + exp(-max(-35.0, min(35.0, x))))
-    for epoch in range(how.epochs):
-        rate = 0.02 / (1 + epoch)
-        for k in rng.permutation(len(rows)):
-            grade, at = rows[k]
-            w = learner.weights(at)
-            f = float(w.sum())
-            a = sigmoid(t[grade] - f) if grade < grades - 1 else 1.0
-            b = sigmoid(t[grade - 1] - f) if grade else 0.0
-            p = max(a - b, 1e-9)
-            learner.step(at, np.full(len(at), 1 - a - b, np.float32), w)
-            if grade < grades - 1:
-                t[grade] += rate * min(1.0, a * (1 - a) / p)
-            if grade:
-                t[grade - 1] -= rate * min(1.0, b * (1 - b) / p)
-            t = np.maximum.accumulate(t + 1e-3 * np.arange(len(t))) - 1e-3 * np.arange(len(t))
-    return Model(learner.weights(), tuple(map(float, t)))
+    g = np.array([k for k, _ in rows])
+    n, m = len(rows), len(ids)
+    col = np.concatenate([x for _, x in rows]).astype(np.int64)
+    row = np.repeat(np.arange(n), [len(x) for _, x in rows])
+    below = np.cumsum(np.bincount(g, minlength=grades) + 1.0)
+    below = below[:-1] / below[-1]
+    at = np.concatenate([np.zeros(m), np.log(below / (1 - below))])
+    mean, square = np.zeros_like(at), np.zeros_like(at)
+    has_upper, has_lower = g < grades - 1, g > 0
+    upper, lower = np.minimum(g, grades - 2), np.maximum(g - 1, 0)
+
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+    for step in range(how.steps):
+        w, t = at[:m], at[m:]
+        f = np.bincount(row, weights=w[col], minlength=n)
+        a = np.where(has_upper, sigmoid(t[upper] - f), 1.0)
+        b = np.where(has_lower, sigmoid(t[lower] - f), 0.0)
+        p = np.maximum(a - b, 1e-9)
+        slope = np.bincount(col, weights=(1 - a - b)[row], minlength=m) + how.l2 * w + how.l1 * np.sign(w)
+        tilt = np.bincount(lower, weights=has_lower * b * (1 - b) / p, minlength=grades - 1)
+        tilt -= np.bincount(upper, weights=has_upper * a * (1 - a) / p, minlength=grades - 1)
+        gradient = np.concatenate([slope, tilt]) / n
+        mean = 0.9 * mean + 0.1 * gradient
+        square = 0.999 * square + 0.001 * gradient * gradient
+        rate = how.rate * (1 - step / how.steps)
+        at = at - rate * (mean / (1 - 0.9 ** (step + 1))) / (np.sqrt(square / (1 - 0.999 ** (step + 1))) + 1e-8)
+        at[m:] = np.maximum.accumulate(at[m:] + 1e-3 * np.arange(grades - 1)) - 1e-3 * np.arange(grades - 1)
+    return Model({int(h): float(x) for h, x in zip(ids, at[:m])}, tuple(map(float, at[m:])))
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """ratings: (id, grade), one row a document.  The sample is a hash range of ids whose width follows from their number."""
-    spark = docs.sparkSession
     ratings = ratings.toDF("id", "grade").where("id is not null and grade is not null")
     n = ratings.count()
     share = int(min(1.0, how.sample / max(1, n)) * (1 << 30))
     sampled = ratings.where(F.pmod(F.xxhash64(F.lit(how.seed), "id"), F.lit(1 << 30)) < share)
-    sampled = written(sampled, "rated")
+    sampled = written(sampled.withColumn("grade", F.col("grade").cast("int")), "rated")
 
     def rated(batches):
         for ids, texts, given in utf8_batches(batches, ["id", "text", "grade"]):
@@ -139,41 +194,54 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, how: Fit = Fit(), id
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # about how.sample rows of two numbers are sent
-    joined = texts.join(F.broadcast(sampled.withColumn("grade", F.col("grade").cast("int"))), "id").select("id", "text", "grade")
-    rows = joined.mapInArrow(rated, "id long, grade int, features binary").collect()
-    rows = sorted((r["id"], r["grade"], bytes(r["features"])) for r in rows)
-    return fit([(g, np.frombuffer(x, np.uint32)) for _, g, x in rows], grades, how)
+    joined = texts.join(F.broadcast(sampled), "id").select("id", "text", "grade")
+    known = written(joined.mapInArrow(rated, "id long, grade int, features binary"), "rated-features")
+    # the sample comes a partition at a time, twice: to count, and for the features that count
+    counts, sizes = np.zeros((grades, 1 << BITS), np.int32), np.zeros(grades, np.int64)
+    for r in known.toLocalIterator():
+        counts[r["grade"], np.frombuffer(r["features"], np.uint32)] += 1
+        sizes[r["grade"]] += 1
+    if not sizes.any():
+        return fit([], np.zeros(0, np.int64), grades, how)
+    ids = significant(counts, sizes, how)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    rows = []
+    for r in known.toLocalIterator():
+        at = place[np.frombuffer(r["features"], np.uint32)]
+        rows.append((r["id"], r["grade"], at[at >= 0].tobytes()))
+    return fit([(g, np.frombuffer(x, np.int32)) for _, g, x in sorted(rows)], ids, grades, how)
 
 
 def scorer(docs: DataFrame, model: Model):
     """A function of a text column: the latent score of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.weights)  # 4 bytes a hash value
+    sent = docs.sparkSession.sparkContext.broadcast(model.weights)  # at most a weight a hash value
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = sent.value
-        if weights is None:
-            return pd.Series(np.full(len(texts), 35.0))
-        return pd.Series([float(weights[features(t or "")].sum()) for t in texts], dtype="float64")
+        of = Scorer(weights).score if weights is not None else lambda text: 35.0
+        for texts in parts:
+            yield pd.Series([of(t or "") for t in texts], dtype="float64")
 
     return score
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, grade) of labels (quality, toxic): 0 low quality, 1 good but toxic, 2 good and clean.
+    """(id, grade) of labels (quality, toxic): a point for good quality and one for being clean.
 
     A document's labels count together, as the worst of them; rows without
     quality count as none, and a null toxic as 0.
     """
     worst = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return worst.select("id", F.when(F.col("q") < 1, 0).when(F.col("t") > 0, 1).otherwise(2).alias("grade"))
+    return worst.select("id", ((F.col("q") >= 1).cast("int") + (F.col("t") <= 0).cast("int")).alias("grade"))
 
 
 def _has_text(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.75, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, expected_grade, tail_probability, kept) for each row of docs.
 
     tail_probability is that of the best grade; a document is kept when it is
@@ -194,7 +262,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, how: Fit = Fi
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.5, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.75, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that classify() keeps, their columns untouched; no row is moved."""
     model = train(docs, graded(labels, id_col), 3, how, id_col, text_col)
     score = scorer(docs, model)
