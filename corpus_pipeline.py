@@ -14,7 +14,7 @@ from tessella.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents whose probability of the best grade is under one half go."""
+    """Operator 9: documents whose probability of the best grade (good and clean) is under 3/4 go."""
     return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
 
 

@@ -464,6 +464,13 @@ def test_thresholds_stay_ordered():
     assert model.weights[5] < model.weights[6] < model.weights[7]
 
 
+@pytest.mark.parametrize(("grade", "kept"), [(2, True), (0, False)])
+def test_labels_of_one_grade(spark, odd, grade, kept):
+    labels = spark.createDataFrame([(k, int(grade > 0), int(grade == 0)) for k in range(10, 30)] + [(None, 1, 0), (11, None, None)], "doc_id long, quality int, toxic int")
+    out = quality_model.classify(odd, labels).collect()
+    assert len(out) == odd.count() and {r.kept for r in out if r.doc_id in range(10, 30)} == {kept}
+
+
 def test_only_significant_features_are_used():
     counts = np.array([[0, 30, 1, 2], [100, 31, 2, 0]])
     assert quality_model.significant(counts, np.array([100, 100]), quality_model.Fit()).tolist() == [0]
