@@ -121,12 +121,12 @@ def try_casts(t):
     return x.select("x", F.col("x").try_cast("int").alias("i"), F.col("x").try_cast("double").alias("d"), F.col("x").try_cast("date").cast("string").alias("t"))
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) + CAST(o_orderkey AS DECIMAL(7,2)) AS DOUBLE) AS a, CAST(CAST(o_totalprice AS DECIMAL(12,2)) - 0.01 AS DOUBLE) AS s,
+@query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) + CAST(o_orderkey AS DECIMAL(18,2)) AS DOUBLE) AS a, CAST(CAST(o_totalprice AS DECIMAL(12,2)) - 0.01 AS DOUBLE) AS s,
                  CAST(CAST(o_totalprice AS DECIMAL(12,2)) * CAST(1.07 AS DECIMAL(5,2)) AS DOUBLE) AS m, CAST(o_totalprice AS DECIMAL(12,2)) > CAST(100000.5 AS DECIMAL(8,1)) AS c FROM orders""")
 def decimal_arithmetic(t):
     p = F.col("o_totalprice").cast("decimal(12,2)")
     return t.orders.select(
-        "o_orderkey", (p + F.col("o_orderkey").cast("decimal(7,2)")).cast("double").alias("a"), (p - F.lit("0.01").cast("decimal(3,2)")).cast("double").alias("s"),
+        "o_orderkey", (p + F.col("o_orderkey").cast("decimal(18,2)")).cast("double").alias("a"), (p - F.lit("0.01").cast("decimal(3,2)")).cast("double").alias("s"),
         (p * F.lit("1.07").cast("decimal(5,2)")).cast("double").alias("m"), (p > F.lit("100000.5").cast("decimal(8,1)")).alias("c"),
     )
 
