@@ -17,14 +17,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, literal_rows, written
 
 MAX_SOURCES = 10_000
-#: Documents that may fill the gap between a source's target and the documents that its order takes.
-FILLERS = 48
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -78,6 +76,64 @@ def split_quotas(quotas: Sequence[int], shards: int, rng: np.random.Generator) -
     return out
 
 
+RUNS = "array<struct<after:bigint,upto:bigint,longest:double>>"
+
+
+def in_runs() -> Column:
+    """Whether a document (start, size) is in one of the runs that fill() gives."""
+    return F.coalesce(F.exists("runs", lambda r: (F.col("start") > r["after"]) & (F.col("start") <= r["upto"]) & (F.col("size") <= r["longest"])), F.lit(False))
+
+
+def fill(later: DataFrame, gaps: dict[tuple, float]) -> DataFrame:
+    """(of, left, runs) for each source: first fit over its later documents by start, without a bound on their number.
+
+    later has (source, bucket, size, start), with buckets in the order of start; gaps are the words to fill, by source.
+    A run takes each document after one start and up to another that is no longer than the gap at its beginning.  It
+    ends before the first of these that does not fit any more; the next run goes on from there with what is left.  So
+    each run shortens the length that can be taken, in hash order by about half, and no run passes over what fits.
+    """
+    spark = later.sparkSession
+    end = (1 << 63) - 1
+    state = {k: {"after": -1, "left": float(gap), "runs": []} for k, gap in gaps.items()}
+    active = {k for k, s in state.items() if s["left"] >= 1}
+    key = lambda r: (r["source"]["none"], r["source"]["name"])
+    while active:
+        now = [{"none": k[0], "name": k[1], "after": state[k]["after"], "left": state[k]["left"]} for k in sorted(active)]
+        at = literal_rows(spark, now, "none boolean, name string, after long, left double").select(F.struct("none", "name").alias("source"), "after", "left")
+        fits = later.join(F.broadcast(at), "source").where((F.col("start") > F.col("after")) & (F.col("size") <= F.col("left")))
+        sums = fits.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        ordered = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("upto", F.sum("words").over(ordered))  # one row a bucket
+        crossing = F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))
+        found = {key(r): r for r in sums.groupBy("source").agg(F.sum("words").alias("words"), F.min(crossing).alias("cross")).collect()}
+        crossed = [
+            {"none": k[0], "name": k[1], "bucket": r["cross"]["bucket"], "before": r["cross"]["before"], "after": state[k]["after"], "left": state[k]["left"]}
+            for k, r in sorted(found.items()) if r["cross"] is not None
+        ]
+        stops = {}
+        if crossed:
+            in_ = literal_rows(spark, crossed, "none boolean, name string, bucket int, before long, after long, left double")
+            in_ = in_.select(F.struct("none", "name").alias("source"), "bucket", "before", "after", "left")
+            one = later.join(F.broadcast(in_), ["source", "bucket"]).where((F.col("start") > F.col("after")) & (F.col("size") <= F.col("left")))
+            inside = Window.partitionBy("source", "bucket").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            one = one.withColumn("upto", F.col("before") + F.sum("size").over(inside)).where(F.col("upto") > F.col("left"))
+            stop = F.min(F.struct("start", (F.col("upto") - F.col("size")).alias("taken")))
+            stops = {key(r): r["stop"] for r in one.groupBy("source").agg(stop.alias("stop")).collect()}
+        for k in list(active):
+            s = state[k]
+            if k not in found:  # nothing that fits is left
+                active.discard(k)
+                continue
+            stop = stops.get(k)
+            upto, taken = (stop["start"] - 1, stop["taken"]) if stop else (end, found[k]["words"])
+            s["runs"].append({"after": s["after"], "upto": upto, "longest": s["left"]})
+            s["after"], s["left"] = upto + 1 if stop else end, s["left"] - taken
+            if not stop or s["left"] < 1:
+                active.discard(k)
+    rows = [{"none": k[0], "name": k[1], "left": s["left"], "runs": s["runs"]} for k, s in sorted(state.items())]
+    return literal_rows(spark, rows, f"none boolean, name string, left double, runs {RUNS}").select(F.struct("none", "name").alias("of"), "left", "runs")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -97,8 +153,9 @@ def mix(
     how often the mix takes the whole document, at most `most` times, and
     places has (epoch, shard, block, position) for each copy; ordering a shard
     by position is its local shuffle.  Each source's taken words are within one
-    document of its target; the gap that the order leaves is filled by the
-    FILLERS largest documents, as they fit, and the best-fitting one.  A source without words has target 0 and takes
+    document of its target; the gap that the order leaves is filled by all later
+    documents that fit what is still left when their turn comes, and then by
+    the best-fitting one.  A source without words has target 0 and takes
     nothing.  Rows with a repeated id are documents of their own; equal rows
     are interchangeable.  An empty table gives no rows.  The same rows and
     seed give the same mix, however they are partitioned.
@@ -145,31 +202,22 @@ def mix(
         .join(F.broadcast(per_source), "source")
     )  # at most MAX_SOURCES rows are sent
     placed = written(placed, "mix-placed")
-    # The last epoch takes the documents that end before the cut.  The next one may be huge, so the gap that is left is
-    # filled by the largest later ones that fit, one after the other, and then by the one that fits the rest best.
+    # The last epoch takes the documents that end before the cut.  The next one may be huge, so the later ones are gone
+    # through in the same order and each that fits the gap still left is taken; then the one that fits the rest best.
     # A document's start names it within its source, since only documents with words are taken.
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     words = (F.col("size") > 0) & (F.col("epochs") < most)
     early = words & (F.col("start") + F.col("size") <= rest)
     gaps = placed.where(words).groupBy("source").agg((F.first(rest) - F.coalesce(F.max(F.when(early, F.col("start") + F.col("size"))), F.lit(0))).alias("gap"))
-    later = placed.where(words & ~early).select("source", "size", "h", "start").join(F.broadcast(gaps), "source")
-    largest = Window.partitionBy("source").orderBy(F.desc("size"), "h", "start")
-    fitting = later.where(F.col("size") <= F.col("gap")).withColumn("nth", F.row_number().over(largest)).where(F.col("nth") <= FILLERS)
-    candidates = F.sort_array(F.collect_list(F.struct("nth", "size", "start")))  # FILLERS at most
-    nothing = F.struct(F.first("gap").alias("left"), F.array().cast("array<bigint>").alias("starts"))
-    filled = fitting.groupBy("source").agg(
-        F.aggregate(
-            candidates, nothing,
-            lambda acc, c: F.when(c["size"] <= acc["left"], F.struct((acc["left"] - c["size"]).alias("left"), F.concat(acc["starts"], F.array(c["start"])).alias("starts"))).otherwise(acc),
-        ).alias("filled")
-    )
-    filled = written(gaps.join(filled, "source", "left").select(F.col("source").alias("of"), F.coalesce("filled.left", "gap").alias("left"), F.coalesce("filled.starts", F.array().cast("array<bigint>")).alias("starts")), "mix-filled")
+    later = placed.where(words & ~early).select("source", "bucket", "size", "h", "start")
+    filled = fill(later, {(r["source"]["none"], r["source"]["name"]): r["gap"] for r in gaps.collect()})
     off = F.abs(F.col("size") - F.col("left"))
-    free = later.join(F.broadcast(filled), F.col("source") == F.col("of")).where((off < F.col("left")) & ~F.array_contains("starts", F.col("start")))
+    free = later.join(F.broadcast(filled), F.col("source") == F.col("of")).where((off < F.col("left")) & ~in_runs())
     fit = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", "h", "start")).alias("fit"))
-    chosen = filled.join(fit, F.col("of") == F.col("source"), "left").select("of", F.concat("starts", F.when(F.col("fit").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("fit.start"))).alias("starts"))
-    placed = placed.join(F.broadcast(chosen), F.col("source") == F.col("of"), "left")  # a row a source at most, of FILLERS numbers
-    extra = F.when(early | (words & F.coalesce(F.array_contains("starts", F.col("start")), F.lit(False))), 1).otherwise(0)
+    chosen = filled.join(fit, F.col("of") == F.col("source"), "left").select("of", "runs", F.col("fit.start").alias("best"))
+    placed = placed.join(F.broadcast(chosen), F.col("source") == F.col("of"), "left")  # a row a source at most
+    chosen_later = in_runs() | (F.col("start") == F.col("best"))
+    extra = F.when(early | (words & F.coalesce(chosen_later, F.lit(False))), 1).otherwise(0)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).cast("int"))
     last = F.greatest(F.get("ends", F.lit(shards - 1)), F.lit(1)) - 1
 

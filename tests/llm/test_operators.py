@@ -157,6 +157,33 @@ def test_mixed_rows_keep_columns(odd):
     assert Counter(r.doc_id for r in out.select("doc_id").collect())[5] == next(r.copies for r in mixing.mix(odd).collect() if r.doc_id == 5)
 
 
+def test_mix_fills_a_long_documents_gap_with_many_short_ones(spark):
+    rows_ = [(k, "a b c", "a") for k in range(2000)] + [(5000, "w " * 4000, "a")] + [(6000 + k, "x " * 100, "b") for k in range(100)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)
+    for seed in (8, 9):  # the long one straddles the cut
+        out = [r for r in mixing.mix(docs, weights=(3, 17), seed=seed).collect() if r.doc_id <= 5000]
+        assert abs(sum(r.taken for r in out) - 3000) <= 3 and {r.target for r in out} == {3000}
+
+
+def test_fill_is_first_fit(spark):
+    rng = np.random.default_rng(11)
+    sizes = {s: [int(x) for x in rng.choice([1, 2, 3, 7, 20, 90, 400], 300)] for s in ("p", "q", "r")}
+    gaps = {(False, "p"): 900.5, (False, "q"): 123.0, (False, "r"): 10.0**6}
+    starts = {s: [0, *np.cumsum(v[:-1]).tolist()] for s, v in sizes.items()}
+    data = [((False, s), k // 30, v, at) for s in sizes for k, (v, at) in enumerate(zip(sizes[s], starts[s]))]
+    later = spark.createDataFrame(data, "source struct<none:boolean,name:string>, bucket int, size long, start long")
+    filled = mixing.fill(later, gaps)
+    got = filled.join(later, filled["of"] == later["source"]).where(mixing.in_runs()).select("source.name", "start").collect()
+    left = {r["of"]["name"]: r["left"] for r in filled.collect()}
+    for s in sizes:
+        gap, want = gaps[False, s], set()
+        for v, at in zip(sizes[s], starts[s]):
+            if v <= gap:
+                want.add(at)
+                gap -= v
+        assert {r["start"] for r in got if r["name"] == s} == want and left[s] == gap
+
+
 def test_mixing_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
