@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, mixing, packing, quality_model, simhash
+from tessella.llm import exact_dedup, mixing, near_text, packing, quality_model, simhash
 from tessella.llm.common import table, written
 
 
@@ -23,9 +23,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_duplicates(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each component of linked fingerprints the smallest id stays."""
-    return simhash.one_of_each(docs)
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
+    """Operator 8: of each component of linked fingerprints the smallest id stays.
+
+    Its contract (three-word shingles, two bits) misses most near copies.  With
+    a similarity, those of what is left go too whose sets of five-word shingles
+    are that similar.
+    """
+    left = simhash.one_of_each(docs)
+    return left if similarity is None else near_text.without_near_copies(written(left, "near-fingerprints"), similarity=similarity)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,33 @@ def test_each_stage(spark):
     last = stages["packing"](spark, fourth, SF).collect()
     assert Counter(r.doc_id for r in last if r.piece == 0) == want
     assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+def test_near_dedup_drops_near_copies_of_five_words(spark):
+    """Edits of one text, at five-word similarities on both sides of 0.8, singly and as a large group."""
+    import random
+
+    import corpus_pipeline
+    from tessella.llm import near_text
+
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def edited(words, at):
+        return [w if k not in at else f"z{rng.randrange(10**9)}" for k, w in enumerate(words)]
+
+    texts, gone = {}, set()
+    for k in range(12):
+        base = fresh(120)
+        texts[10 * k] = base
+        texts[10 * k + 1] = edited(base, {30, 90})  # 106 of 126 runs: 0.84
+        texts[10 * k + 2] = edited(base, {20, 60, 100})  # 101 of 131: 0.77
+        gone.add(10 * k + 1)
+    crowd = fresh(300)
+    texts |= {1000 + k: edited(crowd, {5 + 4 * k}) for k in range(70)}
+    gone |= {1000 + k for k in range(1, 70)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(None, "a b c"), (-5, " "), (-4, None)], "doc_id long, text string")
+    kept = lambda df: {r.doc_id for r in df.collect()}
+    want = {*texts, None, -5, -4} - gone
+    assert kept(near_text.without_near_copies(docs)) == want
+    assert kept(corpus_pipeline.near(spark, docs, SF, similarity=0.8)) == want - {-4}  # without words: equal fingerprints
