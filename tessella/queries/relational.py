@@ -198,6 +198,15 @@ def join_null_safe(t):
     return a.join(b, F.col("a").eqNullSafe(F.col("b")))
 
 
+@query("""SELECT a.k AS a, b.k AS b, a.n * b.n AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS k, count(*) AS n FROM customer GROUP BY 1) a
+          JOIN (SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k""")
+def join_null_safe_whole(t):
+    """join_null_safe over whole tables: how many pairs of rows each pair of keys has."""
+    a = t.customer.groupBy(F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("a")).agg(F.count("*").alias("of_a"))
+    b = t.supplier.groupBy(F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("b")).agg(F.count("*").alias("of_b"))
+    return a.join(b, F.col("a").eqNullSafe(F.col("b"))).select("a", "b", (F.col("of_a") * F.col("of_b")).alias("n"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events e JOIN customer ON user_id = c_custkey GROUP BY event_type")
 def join_salted(t):
     left = t.events.select("event_type", F.col("user_id").alias("c_custkey"))
