@@ -419,6 +419,20 @@ def sort_null_order(t):
     return first.withColumn("rn", F.row_number().over(Window.orderBy(F.desc_nulls_first("k"), "c_custkey")).cast("long")).select("k", "rn")  # 400 rows
 
 
+@query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey,
+                 row_number() OVER (ORDER BY CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END DESC NULLS FIRST, c_custkey) AS rn FROM customer""")
+def sort_null_order_whole(t):
+    """sort_null_order without a cap: ranks are counts of the keys before, plus a row number inside (key, bucket)."""
+    keyed = t.customer.select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("k"), "c_custkey", F.floor(F.col("c_custkey") / 100_000).alias("bucket"))
+    order = [F.desc_nulls_first("k"), "bucket"]
+    counts = keyed.groupBy("k", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a key and bucket
+    starts = counts.select(F.col("k").alias("of_k"), F.col("bucket").alias("of_bucket"), before.alias("before"))
+    ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("k", "bucket").orderBy("c_custkey")))
+    joined = ranked.join(starts, F.col("k").eqNullSafe(F.col("of_k")) & (F.col("bucket") == F.col("of_bucket")))
+    return joined.select("k", "c_custkey", (F.col("before") + F.col("nth")).alias("rn")).orderBy("rn")
+
+
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders ORDER BY o_orderdate, o_orderkey")
 def sort_global(t):
     return t.orders.orderBy("o_orderdate", "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))

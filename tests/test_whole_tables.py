@@ -16,3 +16,12 @@ def test_join_null_safe_whole_reads_all_rows(spark):
     out = QUERIES["join_null_safe_whole"](spark, SF).collect()
     nulls = one("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) * (SELECT count(*) FROM supplier WHERE s_suppkey % 7 = 0)")
     assert [r.n for r in out if r.a is None and r.b is None] == [nulls] and len({r.a for r in out}) == len(out)
+
+
+def test_sort_null_order_whole_ranks_all_rows(spark):
+    out = QUERIES["sort_null_order_whole"](spark, SF).collect()
+    n = one("SELECT count(*) FROM customer")
+    assert [r.rn for r in out] == list(range(1, n + 1))
+    nulls = sum(r.k is None for r in out)
+    keys = [r.k for r in out[nulls:]]
+    assert all(r.k is None for r in out[:nulls]) and keys and keys == sorted(keys, reverse=True)
