@@ -100,6 +100,17 @@ def numeric_functions(t):
     )
 
 
+@query("""SELECT c_custkey, CAST(abs(b) AS DOUBLE) AS a, CAST(round(b, 1) AS DOUBLE) + 0.0 AS r1, CAST(round(b, -2) AS DOUBLE) + 0.0 AS r2, CAST(round(CAST(c_custkey AS DECIMAL(18,0)), -1) AS BIGINT) AS ri,
+                 CAST(floor(b) AS BIGINT) AS f, CAST(ceil(b) AS BIGINT) AS c FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) AS b FROM customer)""")
+def numeric_functions_whole(t):
+    """numeric_functions over all of customer: exact decimals, so that ties go away from zero on both sides."""
+    b = F.col("c_acctbal").cast("decimal(18,2)")
+    return t.customer.select(
+        "c_custkey", F.abs(b).cast("double").alias("a"), (F.round(b, 1).cast("double") + F.lit(0.0)).alias("r1"), (F.round(b, -2).cast("double") + F.lit(0.0)).alias("r2"),
+        F.round(F.col("c_custkey").cast("decimal(18,0)"), -1).cast("long").alias("ri"), F.floor(b).cast("long").alias("f"), F.ceil(b).cast("long").alias("c"),
+    )
+
+
 @query("SELECT x, round(x) AS r, CAST(round(y, -1) AS BIGINT) AS ry FROM (VALUES (2.5::DOUBLE, 125), (-2.5::DOUBLE, -125), (0.5::DOUBLE, 15), (NULL, NULL)) v(x, y)")
 def round_half_up(t):
     x = t._spark.sql("SELECT * FROM VALUES (2.5D, 125), (-2.5D, -125), (0.5D, 15), (CAST(NULL AS DOUBLE), CAST(NULL AS INT)) AS v(x, y)")

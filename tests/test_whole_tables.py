@@ -25,3 +25,15 @@ def test_sort_null_order_whole_ranks_all_rows(spark):
     nulls = sum(r.k is None for r in out)
     keys = [r.k for r in out[nulls:]]
     assert all(r.k is None for r in out[:nulls]) and keys and keys == sorted(keys, reverse=True)
+
+
+def test_numeric_functions_whole_rounds_ties_away_from_zero(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    with duck() as con:
+        balances = dict(con.execute("SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) FROM customer").fetchall())
+    out = {r.c_custkey: r for r in QUERIES["numeric_functions_whole"](spark, SF).collect()}
+    assert set(out) == set(balances) and any(k % 10 == 5 for k in out)
+    for k, b in balances.items():
+        want = float(b.quantize(Decimal("0.1"), ROUND_HALF_UP)), float((b / 100).quantize(Decimal(1), ROUND_HALF_UP) * 100), (k + 5) // 10 * 10
+        assert (out[k].r1, out[k].r2, out[k].ri) == want
