@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import argparse
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +56,27 @@ def queries(spark: SparkSession, path: str, views: list[str] | None = None, sinc
     out = start.join(end, "execution_id", "left").join(sums, "execution_id", "left")
     zeros = {c: 0 for c in ("tasks", "failed_tasks", "run_seconds", "gc_seconds", "peak_bytes", "rows_read", "shuffle_bytes", "spilled_bytes")}
     names = [v.replace("`", "") for v in views or []]
-    used = F.filter(F.array(*(F.when(F.col("plan").contains(n), F.lit(n)) for n in names)), lambda v: v.isNotNull()) if names else F.array().cast("array<string>")
+    plain = F.regexp_replace("plan", "`", "")
+    # whole names only: hr.v is not read where hr.v2 is
+    read = lambda n: plain.rlike(r"(?<!\w)" + re.escape(n) + r"(?!\w)")
+    used = F.filter(F.array(*(F.when(read(n), F.lit(n)) for n in names)), lambda v: v.isNotNull()) if names else F.array().cast("array<string>")
     return out.fillna(zeros).select(
         "execution_id", "description", "plan", F.timestamp_millis("started_ms").alias("started"), ((F.col("ended_ms") - F.col("started_ms")) / 1000).alias("seconds"), *zeros, used.alias("views")
     )
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """python -m tessella.mv.eventlog LOGS OUT [--views a.v,b.w] [--since MS] [--until MS]: the table of queries as JSON files."""
+    parser = argparse.ArgumentParser(description="Spark event logs as a table of queries")
+    parser.add_argument("logs")
+    parser.add_argument("out")
+    parser.add_argument("--views", default="")
+    parser.add_argument("--since", type=int)
+    parser.add_argument("--until", type=int)
+    a = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("event logs").getOrCreate()
+    queries(spark, a.logs, [v for v in a.views.split(",") if v], a.since, a.until).write.mode("overwrite").json(a.out)
+
+
+if __name__ == "__main__":
+    main()

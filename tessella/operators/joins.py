@@ -42,10 +42,32 @@ def not_in(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataF
     return kept.where((F.col("__rows") == 0) | ((F.col("__nulls") == 0) & F.col(key).isNotNull())).drop("__rows", "__nulls")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys on the left go to `salts` tasks; right is repeated that often, so it is for a right with few rows a key."""
-    salted = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+#: Kinds of join that give each row of the left at most once a match, so that copies of the right change nothing.
+SALTED = ("inner", "left", "leftouter", "left_outer", "semi", "leftsemi", "left_semi", "anti", "leftanti", "left_anti")
+
+
+def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    """Keys with at least this share of the rows: 1 / share of them at most."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("__n") >= F.lit(share) * F.col("__all")).select(key)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """An equi-join whose hot keys on the left (a share of its rows or more) go to `salts` tasks each.
+
+    Only the right's rows of hot keys are repeated.  A join that keeps rows of
+    the right without a match would keep each of their copies: such kinds are
+    refused.
+    """
+    if how not in SALTED:
+        raise ValueError(f"{how}: rows of the right that match nothing would be repeated")
+    hot = F.broadcast(hot_keys(left, key, share).withColumnRenamed(key, "__hot"))
+    is_hot = F.col("__hot").isNotNull()
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    salted = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(is_hot, spread).otherwise(0)).drop("__hot")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 

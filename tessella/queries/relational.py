@@ -190,18 +190,10 @@ def join_existence(t):
     return flagged.where("c_acctbal < 100 OR has_big").select("c_custkey", "has_big")
 
 
-@query("""SELECT a.k AS a, b.k AS b FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer WHERE c_custkey <= 60) a
-          JOIN (SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier WHERE s_suppkey <= 40) b ON a.k IS NOT DISTINCT FROM b.k""")
-def join_null_safe(t):
-    a = t.customer.where("c_custkey <= 60").select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("a"))
-    b = t.supplier.where("s_suppkey <= 40").select(F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("b"))
-    return a.join(b, F.col("a").eqNullSafe(F.col("b")))
-
-
 @query("""SELECT a.k AS a, b.k AS b, a.n * b.n AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS k, count(*) AS n FROM customer GROUP BY 1) a
           JOIN (SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k""")
-def join_null_safe_whole(t):
-    """join_null_safe over whole tables: how many pairs of rows each pair of keys has."""
+def join_null_safe(t):
+    """How many pairs of rows each pair of keys has."""
     a = t.customer.groupBy(F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("a")).agg(F.count("*").alias("of_a"))
     b = t.supplier.groupBy(F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey")).alias("b")).agg(F.count("*").alias("of_b"))
     return a.join(b, F.col("a").eqNullSafe(F.col("b"))).select("a", "b", (F.col("of_a") * F.col("of_b")).alias("n"))
@@ -411,18 +403,10 @@ def top_n(t):
     return rows.top_n(t.orders, [F.desc("o_totalprice"), "o_orderkey"], 20, "o_orderkey", "o_totalprice")
 
 
-@query("""SELECT k, rn FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey,
-                 row_number() OVER (ORDER BY CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END DESC NULLS FIRST, c_custkey) AS rn FROM customer) WHERE rn <= 400""")
-def sort_null_order(t):
-    keyed = t.customer.select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("k"), "c_custkey")
-    first = keyed.orderBy(F.desc_nulls_first("k"), "c_custkey").limit(400)
-    return first.withColumn("rn", F.row_number().over(Window.orderBy(F.desc_nulls_first("k"), "c_custkey")).cast("long")).select("k", "rn")  # 400 rows
-
-
 @query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey,
                  row_number() OVER (ORDER BY CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END DESC NULLS FIRST, c_custkey) AS rn FROM customer""")
-def sort_null_order_whole(t):
-    """sort_null_order without a cap: ranks are counts of the keys before, plus a row number inside (key, bucket)."""
+def sort_null_order(t):
+    """Ranks are counts of the keys before, plus a row number inside (key, bucket)."""
     keyed = t.customer.select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("k"), "c_custkey", F.floor(F.col("c_custkey") / 100_000).alias("bucket"))
     order = [F.desc_nulls_first("k"), "bucket"]
     counts = keyed.groupBy("k", "bucket").agg(F.count("*").alias("n"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,11 +73,24 @@ class Layout:
 EXISTING = ("error", "append", "overwrite")
 
 
+@contextmanager
+def overwriting(spark: SparkSession, mode: str) -> Iterator[None]:
+    """The session's partitionOverwriteMode for one insert: inserts take it from the session only, so others must not run beside this one in the same session."""
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, mode)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def save(df: DataFrame, table: str, layout: Layout = Layout(), mode: str = "error") -> None:
     """df as a catalog table.  Rows are dealt by partition columns first, so that a partition has few files.
 
     With mode "overwrite" only the partitions that df has are replaced, if the
-    table is partitioned and exists.
+    table is partitioned and exists.  A table that exists keeps its own layout:
+    its partition columns come from the catalog, not from `layout`.
     """
     spark = df.sparkSession
     if mode not in EXISTING:
@@ -84,19 +98,16 @@ def save(df: DataFrame, table: str, layout: Layout = Layout(), mode: str = "erro
     exists = spark.catalog.tableExists(table)
     if exists and mode == "error":
         raise ValueError(f"{table} exists")
-    columns = spark.table(table).columns if exists else [*(c for c in df.columns if c not in layout.partition_by), *layout.partition_by]
+    keys = [c.name for c in spark.catalog.listColumns(table) if c.isPartition] if exists else list(layout.partition_by)
+    columns = spark.table(table).columns if exists else [*(c for c in df.columns if c not in keys), *keys]
     # rebalancing splits a hot partition over several tasks; hashing by key would not
     rows = df.select(*columns)
-    rows = rows.hint("rebalance", *layout.partition_by) if layout.partition_by else rows
+    rows = rows.hint("rebalance", *keys) if keys else rows
     if layout.sort_by and not layout.buckets:
-        rows = rows.sortWithinPartitions(*layout.partition_by, *layout.sort_by)
+        rows = rows.sortWithinPartitions(*keys, *layout.sort_by)
     if exists:
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if layout.partition_by else "static")
-        try:
+        with overwriting(spark, "dynamic" if keys else "static"):
             rows.write.insertInto(table, overwrite=mode == "overwrite")
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         return
     writer = rows.write.format(layout.format).mode("errorifexists")
     if layout.compression:

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.files import overwriting
+
 _MODES = {"add": "ADD PARTITIONS", "drop": "DROP PARTITIONS", "full": "SYNC PARTITIONS"}
 
 
@@ -27,12 +29,10 @@ def _overwrite(spark: SparkSession, table: str, rows: DataFrame, whole: bool) ->
     staging = f"{table}__staging"
     spark.sql(f"DROP TABLE IF EXISTS {_name(staging)}")
     rows.write.format("parquet").saveAsTable(staging)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static" if whole else "dynamic")
     try:
-        spark.table(staging).select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+        with overwriting(spark, "static" if whole else "dynamic"):
+            spark.table(staging).select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         spark.sql(f"DROP TABLE {_name(staging)}")
 
 
@@ -91,28 +91,76 @@ def compact(spark: SparkSession, table: str) -> None:
 
 
 def rename_column(spark: SparkSession, table: str, old: str, new: str) -> None:
-    _rewrite(spark, table, lambda df: df.withColumnRenamed(old, new))
+    """Partition and bucket columns can be renamed too."""
+    _rewrite(spark, table, lambda df: df.withColumnRenamed(old, new), {old: new})
 
 
 def drop_column(spark: SparkSession, table: str, column: str) -> None:
-    if column in partition_columns(spark, table):
-        raise ValueError(f"{column} is a partition column")
-    _rewrite(spark, table, lambda df: df.drop(column))
-
-
-def _rewrite(spark: SparkSession, table: str, change) -> None:
-    """The table under a changed schema: written beside it, then renamed into its place."""
-    keys, fresh, old = partition_columns(spark, table), f"{table}__new", f"{table}__old"
+    """Not a partition, bucket or sorting column: the table's layout rests on those."""
+    said = _described(spark, table)
+    if column in {*said["partitions"], *said["buckets"], *said["sorted"]}:
+        raise ValueError(f"{column} is a partition column" if column in said["partitions"] else f"{column} is a bucket column")
+    _rewrite(spark, table, lambda df: df.drop(column), {})
+
+
+def _described(spark: SparkSession, table: str) -> dict:
+    """Format, layout, comment and properties of a table, as the catalog has them."""
+    db, name = table.replace("`", "").split(".") if "." in table else (spark.catalog.currentDatabase(), table)
+    t = spark._jsparkSession.sharedState().externalCatalog().getTable(db, name)
+    asked = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    spec = t.bucketSpec().get() if t.bucketSpec().isDefined() else None
+    return {
+        "format": t.provider().get() if t.provider().isDefined() else "hive",
+        "partitions": list(asked(t.partitionColumnNames())),
+        "bucket_count": spec.numBuckets() if spec else 0,
+        "buckets": list(asked(spec.bucketColumnNames())) if spec else [],
+        "sorted": list(asked(spec.sortColumnNames())) if spec else [],
+        "comment": t.comment().get() if t.comment().isDefined() else None,
+        "properties": dict(asked(t.properties())),
+        "options": {k: v for k, v in dict(asked(t.storage().properties())).items() if k not in ("path", "serialization.format")},
+    }
+
+
+def _rewrite(spark: SparkSession, table: str, change, renamed: Mapping[str, str]) -> None:
+    """The table under a changed schema, with its format, layout, comment and properties: written beside it, then renamed into its place."""
+    said, fresh, old = _described(spark, table), f"{table}__new", f"{table}__old"
     for t in (fresh, old):
         spark.sql(f"DROP TABLE IF EXISTS {_name(t)}")
-    rows = change(spark.table(table))
-    writer = rows.write.format("parquet")
-    (writer.partitionBy(*[k for k in keys if k in rows.columns]) if keys else writer).saveAsTable(fresh)
+    now = lambda columns: [renamed.get(c, c) for c in columns]
+    writer = change(spark.table(table)).write.format(said["format"]).options(**said["options"])
+    if said["partitions"]:
+        writer = writer.partitionBy(*now(said["partitions"]))
+    if said["bucket_count"]:
+        writer = writer.bucketBy(said["bucket_count"], *now(said["buckets"]))
+        if said["sorted"]:
+            writer = writer.sortBy(*now(said["sorted"]))
+    writer.saveAsTable(fresh)
+    if said["comment"]:
+        spark.sql(f"COMMENT ON TABLE {_name(fresh)} IS {_literal(said['comment'])}")
+    if said["properties"]:
+        spark.sql(f"ALTER TABLE {_name(fresh)} SET TBLPROPERTIES ({', '.join(f'{_literal(k)} = {_literal(v)}' for k, v in said['properties'].items())})")
     spark.sql(f"ALTER TABLE {_name(table)} RENAME TO {_name(old)}")
     spark.sql(f"ALTER TABLE {_name(fresh)} RENAME TO {_name(table)}")
+    if said["partitions"]:
+        _follow(spark, table)
     spark.sql(f"DROP TABLE {_name(old)}")
 
 
+def _follow(spark: SparkSession, table: str) -> None:
+    """Partitions that a rename left at the table's former folder get their folder under the present one.  (Hive's catalog moves them itself.)"""
+    db, name = table.replace("`", "").split(".") if "." in table else (spark.catalog.currentDatabase(), table)
+    catalog = spark._jsparkSession.sharedState().externalCatalog()
+    keys, home = partition_columns(spark, table), catalog.getTable(db, name).location().toString().rstrip("/")
+    found = catalog.listPartitions(db, name, spark.sparkContext._jvm.scala.Option.empty())
+    for k in range(found.size()):
+        p = found.apply(k)
+        at = p.location().toString().rstrip("/")
+        if not at.startswith(f"{home}/"):
+            spec = ", ".join(f"`{c}` = {_literal(p.spec().apply(c))}" for c in keys)
+            spark.sql(f"ALTER TABLE {_name(table)} PARTITION ({spec}) SET LOCATION {_literal('/'.join([home, *at.split('/')[-len(keys):]]))}")
+    spark.catalog.refreshTable(table)
+
+
 def sync_partitions(spark: SparkSession, table: str, mode: str = "full") -> None:
     """Brings the catalog's partitions in line with the folders: add, drop or both."""
     spark.sql(f"MSCK REPAIR TABLE {_name(table)} {_MODES[mode.lower()]}")

@@ -273,3 +273,61 @@ def test_implication_is_sound(fact, goal):
             assert not contradictory([f])
             if implies([f], g):
                 assert value(goal, row) is True
+
+
+# what writing keeps
+
+
+def test_overwrite_replaces_the_written_partitions_only(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "x int, p string")
+    files.save(rows, "kept_parts", files.Layout(partition_by=["p"]))
+    files.save(spark.createDataFrame([(9, "b")], "x int, p string"), "kept_parts", mode="overwrite")
+    assert sorted(map(tuple, spark.table("kept_parts").collect())) == [(1, "a"), (9, "b")]
+    spark.sql("DROP TABLE kept_parts")
+
+
+def test_changed_columns_keep_the_layout(spark):
+    df = spark.createDataFrame([(1, 2, "a"), (3, 4, "b")], "x int, y int, p string")
+    files.save(df, "laid_out", files.Layout("orc", partition_by=["p"], bucket_by=["x"], buckets=4, sort_by=["x"]))
+    spark.sql("COMMENT ON TABLE laid_out IS 'it is'")
+    spark.sql("ALTER TABLE laid_out SET TBLPROPERTIES ('mine' = 'yes')")
+    tables.rename_column(spark, "laid_out", "p", "q")
+    tables.rename_column(spark, "laid_out", "x", "z")
+    tables.drop_column(spark, "laid_out", "y")
+    said = tables._described(spark, "laid_out")
+    assert (said["format"], said["partitions"], said["bucket_count"], said["buckets"], said["sorted"], said["comment"]) == ("orc", ["q"], 4, ["z"], ["z"], "it is")
+    assert said["properties"]["mine"] == "yes"
+    assert sorted(map(tuple, spark.table("laid_out").collect())) == [(1, "a"), (3, "b")]
+    for c in ("q", "z"):
+        with pytest.raises(ValueError):
+            tables.drop_column(spark, "laid_out", c)
+    spark.sql("DROP TABLE laid_out")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join(spark, how):
+    from tessella.operators.joins import salted_join
+
+    left = spark.createDataFrame([(1, k) for k in range(50)] + [(None, 1), (2, 2), (7, 3)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (5, "d"), (None, "e")], "k int, w string")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, salted_join(left, right, "k", how=how).collect())) == sorted(map(key, left.join(right, "k", how).collect()))
+
+
+@pytest.mark.parametrize("how", ["right", "full"])
+def test_salted_join_refuses_what_it_would_repeat(spark, how):
+    from tessella.operators.joins import salted_join
+
+    with pytest.raises(ValueError, match="repeated"):
+        salted_join(spark.range(2), spark.range(2), "id", how=how)
+
+
+def test_event_logs_tell_views_of_like_names_apart(spark, tmp_path):
+    from tessella.mv import eventlog
+
+    start = '{"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": %d, "description": "q", "physicalPlanDescription": "Scan spark_catalog.hr.%s[x]", "time": 1}'
+    (tmp_path / "log").write_text("\n".join(start % (k, v) for k, v in enumerate(("v", "v2"))))
+    got = eventlog.queries(spark, str(tmp_path / "log"), ["hr.v", "hr.v2"]).orderBy("execution_id").collect()
+    assert [r.views for r in got] == [["hr.v"], ["hr.v2"]]
+    eventlog.main([str(tmp_path / "log"), str(tmp_path / "out"), "--views", "hr.v"])
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
