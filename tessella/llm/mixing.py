@@ -1,15 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Sizes are words.  Each source gets a target; its documents, in the order of a
-seeded hash, are taken in whole epochs and, for the rest, as the first part of
-that order.  An epoch's order is cut into blocks of near-equal size.  Which
-output shard gets how many blocks of which source is drawn by a tree: each
-node splits its exact quotas between the two halves of its shards as a
-multivariate-hypergeometric draw, so that quotas add up at every level.  Each
-shard then takes its disjoint runs of the hashed (permuted) blocks and orders
-its documents by another seeded hash.
-
-Only DataFrame expressions touch rows; the driver sees one row a source.
+Sizes are words.  Each source gets a target.  A hash deals its documents to
+blocks of about equal size, and the target says how many of its blocks the mix
+draws: each in every whole epoch, and some in the last one.  Which output
+shard draws how many blocks of which source is settled by a tree: each node
+splits its exact quotas between the two halves of its shards as a
+multivariate-hypergeometric draw, so that quotas add up at every level.  Shard
+after shard then draws its quota from the blocks left in the source's epoch,
+by a permutation of its own, so the blocks are disjoint, and which of them the
+mix takes depends on the tree.  A shard orders its documents by another hash.
+
+The last epoch is cut at the target: its blocks stand in the order drawn,
+documents inside a block in hash order, and what ends before the cut is taken.
+The gap that the document on the cut leaves is filled by first fit over those
+after it, in the same order, and in the end by the one that fits best.
+
+Only DataFrame expressions touch rows; the driver sees one row a block, whose
+number the parameters bound: shards * blocks_per_shard, and one more a source.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, literal_rows, written
 
+#: More sources are an error: their targets and blocks would not fit into a bounded plan.
 MAX_SOURCES = 10_000
 
 
@@ -134,6 +142,35 @@ def fill(later: DataFrame, gaps: dict[tuple, float]) -> DataFrame:
     return literal_rows(spark, rows, f"none boolean, name string, left double, runs {RUNS}").select(F.struct("none", "name").alias("of"), "left", "runs")
 
 
+def draw(blocks: int, epochs: int, quotas: Sequence[int], rng: np.random.Generator) -> tuple[list[int], np.ndarray]:
+    """One source's draws: (ranks, shards).
+
+    quotas are blocks by shard, in all at least epochs * blocks and fewer than
+    one epoch more.  Shard by shard draws from what is left of the epoch by a
+    permutation of its own.  ranks[b] is block b's place in the last epoch, in
+    the order drawn, the undrawn ones after them; shards[b, e] is the shard
+    that draws b in epoch e, or -1.
+    """
+    shards = np.full((blocks, epochs + 1), -1, np.int64)
+    order: list[int] = []
+    epoch, left = 0, np.arange(blocks)
+    for shard, need in enumerate(quotas):
+        while need > 0:
+            left = left[rng.permutation(len(left))]
+            now, left = left[:need], left[need:]
+            shards[now, epoch] = shard
+            need -= len(now)
+            if epoch == epochs:
+                order.extend(now.tolist())
+            if not len(left) and epoch < epochs:
+                epoch, left = epoch + 1, np.arange(blocks)
+    order.extend((left if epoch == epochs else np.arange(blocks)).tolist())
+    ranks = [0] * blocks
+    for rank, block in enumerate(order):
+        ranks[block] = rank
+    return ranks, shards
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -144,7 +181,6 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    buckets: int = 1024,
 ) -> DataFrame:
     """One row a document: (id, size, source_size, target, copies, taken, places).
 
@@ -152,16 +188,16 @@ def mix(
     code point, null last, and weigh weights in turn, repeating.  copies says
     how often the mix takes the whole document, at most `most` times, and
     places has (epoch, shard, block, position) for each copy; ordering a shard
-    by position is its local shuffle.  Each source's taken words are within one
-    document of its target; the gap that the order leaves is filled by all later
-    documents that fit what is still left when their turn comes, and then by
-    the best-fitting one.  A source without words has target 0 and takes
-    nothing.  Rows with a repeated id are documents of their own; equal rows
-    are interchangeable.  An empty table gives no rows.  The same rows and
-    seed give the same mix, however they are partitioned.
-
-    A source may hold most rows: its order is by hash, with sums per
-    (source, bucket) before the running sums inside a bucket.
+    by position is its local shuffle.  Each source's taken words are within
+    half of one document of its target, where documents that fit are left.  A
+    source without words has target 0 and takes nothing.  Rows with a repeated
+    id are documents of their own; equal rows are interchangeable.  Other
+    columns may have any names and are not read.  An empty table gives no
+    rows.  The same rows and seed give the same mix, however they are
+    partitioned.  More than MAX_SOURCES sources raise ValueError.
+
+    A source may hold most rows: only sums by (source, block) and running sums
+    inside a block are taken, and a source has as many blocks as its share.
     """
     spark = docs.sparkSession
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit(""))))
@@ -170,40 +206,45 @@ def mix(
         F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         hashed.alias("h"),
-    ).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)).cast("int"))
+    )
     base = written(base, "mix-base")
-    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    sources = sums.groupBy("source").agg(F.sum("words").alias("words")).orderBy("source").limit(MAX_SOURCES + 1).collect()
+    sources = base.groupBy("source").agg(F.sum("size").alias("words")).orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer before mixing")
     sizes = [r["words"] for r in sources]
     goals = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], most)
-    total = max(1, sum(sizes))
-    unit = max(1, total // (shards * blocks_per_shard))  # words a block
-    quotas = [int(-(-goal // unit)) if goal else 0 for goal in goals]
-    dealt = split_quotas(quotas, shards, np.random.default_rng(seed))
-    plan = [
-        {
-            "none": r["source"]["none"], "name": r["source"]["name"], "source_size": r["words"], "target": goal,
-            "epochs": int(goal // r["words"]) if r["words"] else 0, "ends": [int(x) for x in np.cumsum(dealt[:, k])],
-        }
-        for k, (r, goal) in enumerate(zip(sources, goals))
-    ]
-    kind = "none boolean, name string, source_size long, target double, epochs int, ends array<bigint>"
-    per_source = literal_rows(spark, plan, kind).select(F.struct("none", "name").alias("source"), "source_size", "target", "epochs", "ends")
-
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    unit = max(1, sum(sizes) // (shards * blocks_per_shard))  # words a block
+    blocks = [max(1, -(-words // unit)) for words in sizes]
+    epochs = [int(goal // words) if words else 0 for goal, words in zip(goals, sizes)]
+    rests = [goal - e * words for goal, words, e in zip(goals, sizes, epochs)]
+    quotas = [e * b + (min(b, int(-(-rest * b // words))) if words and rest > 0 and e < most else 0) for e, b, rest, words in zip(epochs, blocks, rests, sizes)]
+    rng = np.random.default_rng(seed)
+    dealt = split_quotas(quotas, shards, rng)
+
+    # each document's block: a row a source first, since the number of blocks is the source's
+    named = [{"none": r["source"]["none"], "name": r["source"]["name"]} for r in sources]
+    per_source = [n | {"source_size": w, "target": g, "epochs": e, "blocks": b} for n, w, g, e, b in zip(named, sizes, goals, epochs, blocks)]
+    per_source = literal_rows(spark, per_source, "none boolean, name string, source_size long, target double, epochs int, blocks int")
+    per_source = per_source.select(F.struct("none", "name").alias("source"), "source_size", "target", "epochs", "blocks")
+    in_block = F.pmod(F.shiftrightunsigned("h", 20), F.col("blocks")).cast("int")
+    base = base.join(F.broadcast(per_source), "source").withColumn("block", in_block)  # at most MAX_SOURCES rows are sent
+    sums = {(r["source"]["none"], r["source"]["name"], r["block"]): r["words"] for r in base.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()}
+    per_block = []
+    for k, n in enumerate(named):
+        ranks, drawn = draw(blocks[k], epochs[k], [int(q) for q in dealt[:, k]], rng)
+        before = 0
+        for rank, b in enumerate(sorted(range(blocks[k]), key=ranks.__getitem__)):
+            per_block.append(n | {"block": b, "bucket": rank, "before": before, "shards": drawn[b].tolist()})
+            before += sums.get((n["none"], n["name"], b), 0)
+    per_block = literal_rows(spark, per_block, "none boolean, name string, block int, bucket int, before long, shards array<int>")
+    per_block = per_block.select(F.struct("none", "name").alias("source"), "block", "bucket", "before", "shards")
+    inside = Window.partitionBy("source", "block").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         base.withColumn("upto", F.sum("size").over(inside))
-        .join(starts, ["source", "bucket"])
+        .join(F.broadcast(per_block), ["source", "block"])  # at most shards * blocks_per_shard + MAX_SOURCES rows are sent
         .withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
-        .join(F.broadcast(per_source), "source")
-    )  # at most MAX_SOURCES rows are sent
+    )
     placed = written(placed, "mix-placed")
-    # The last epoch takes the documents that end before the cut.  The next one may be huge, so the later ones are gone
-    # through in the same order and each that fits the gap still left is taken; then the one that fits the rest best.
     # A document's start names it within its source, since only documents with words are taken.
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     words = (F.col("size") > 0) & (F.col("epochs") < most)
@@ -219,31 +260,35 @@ def mix(
     chosen_later = in_runs() | (F.col("start") == F.col("best"))
     extra = F.when(early | (words & F.coalesce(chosen_later, F.lit(False))), 1).otherwise(0)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra).otherwise(0).cast("int"))
-    last = F.greatest(F.get("ends", F.lit(shards - 1)), F.lit(1)) - 1
 
     def place(epoch):
-        block = F.least(last, ((F.col("start") + epoch * F.col("source_size")) / F.lit(unit)).cast("long"))
-        return F.struct(
-            epoch.cast("int").alias("epoch"),
-            F.size(F.filter("ends", lambda end: end <= block)).alias("shard"),
-            block.alias("block"),
-            F.xxhash64(F.lit(seed + 1), F.col("h"), epoch).alias("position"),
-        )
-
-    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)).otherwise(F.array().cast("array<struct<epoch:int,shard:int,block:bigint,position:bigint>>"))
+        drawn = F.get("shards", epoch)
+        # a filling document of a block that no shard drew goes to any shard
+        shard = F.when(drawn >= 0, drawn).otherwise(F.pmod(F.col("h"), F.lit(shards))).cast("int")
+        return F.struct(epoch.cast("int").alias("epoch"), shard.alias("shard"), F.col("block").alias("block"), F.xxhash64(F.lit(seed + 1), F.col("h"), epoch).alias("position"))
+
+    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), place)).otherwise(F.array().cast("array<struct<epoch:int,shard:int,block:int,position:bigint>>"))
     return placed.select(
         F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), places.alias("places")
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs as the mix takes them, a row for each copy, with its columns and no others.
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 8, **options) -> DataFrame:
+    """The rows of docs as the mix takes them, a row for each copy, with its columns and no others, in the order of the shards.
 
-    A document that the mix leaves out gives no row.  Rows that share an id
-    are taken together: each as often as the most taken of them.
+    Partitions go by shard, several a shard and in its order, and rows inside
+    them by position: written files, by their names, are the shuffled shards
+    one after the other.  A document that the mix leaves out gives no row.
+    Rows that share an id are taken together: each as often as the most taken
+    of them.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    keys = taken.groupBy(id_col).agg(F.max("copies").alias("n")).toDF("__key", "__copies").where("__copies > 0")
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, shards=shards, **options)
+    keys = taken.where("copies > 0").groupBy(id_col).agg(F.max(F.struct("copies", "places")).alias("most")).select(F.col(id_col).alias("__key"), F.explode("most.places").alias("__place"))
     joined = docs.join(keys, docs[id_col].eqNullSafe(keys["__key"]))
     names = [docs[c] for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    place = F.col("__place")
+    slice_ = F.least(F.lit(slices - 1), F.floor((place["position"] / F.lit(2.0**64) + 0.5) * slices))
+    dealt = joined.select(*names, "__place").repartitionById(shards * slices, (place["shard"] * slices + slice_).cast("int"))
+    ordered = dealt.sortWithinPartitions(place["position"], place["epoch"])
+    return ordered.drop("__place")

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, exact_dedup, html_text, language_id, mixing, packing, quality_model, quality_rules, sharding, simhash
@@ -151,6 +153,45 @@ def test_mix_meets_targets_and_repeats_itself(odd):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 9), "ab"[k % 5 == 0]) for k in range(3000)], "doc_id long, text string, source string")
+    run = lambda: {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    first = run()
+    assert first == run() != {r.doc_id: r.copies for r in mixing.mix(docs, seed=5).collect()}
+    of_tree = mixing.split_quotas
+
+    def one_shard(quotas, shards, rng):
+        out = of_tree(quotas, shards, rng)
+        out[0], out[1:] = out.sum(axis=0), 0
+        return out
+
+    monkeypatch.setattr(mixing, "split_quotas", one_shard)
+    assert run() != first
+
+
+@given(st.integers(1, 30), st.integers(0, 3), st.integers(0, 29), st.integers(1, 7), st.integers(0, 99))
+def test_draws_are_disjoint(blocks, epochs, last, shards, seed):
+    rng = np.random.default_rng(seed)
+    n = epochs * blocks + min(last, blocks - 1)
+    quotas = rng.multinomial(n, [1 / shards] * shards).tolist()
+    ranks, drawn = mixing.draw(blocks, epochs, quotas, rng)
+    assert sorted(ranks) == list(range(blocks)) and (drawn[:, :epochs] >= 0).all()
+    assert [(drawn == s).sum() for s in range(shards)] == quotas
+    taken = [b for b in range(blocks) if drawn[b, epochs] >= 0]
+    assert sorted(ranks[b] for b in taken) == list(range(len(taken)))
+
+
+def test_mixed_rows_come_in_shards(spark):
+    docs = spark.createDataFrame([(k, f"w{k} x", "ab"[k % 2]) for k in range(400)], "doc_id long, text string, source string")
+    places = {}
+    for r in mixing.mix(docs, shards=4).collect():
+        places[r.doc_id] = {(p.shard, p.position) for p in r.places}
+    out = mixing.mixed_rows(docs, shards=4).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    at = [sorted(places[r.doc_id]) for r in out]
+    once = [a[0] for a in at if len(a) == 1]
+    assert once == sorted(once) and len({s for a in at for s, _ in a}) == 4
+
+
 def test_mixed_rows_keep_columns(odd):
     out = mixing.mixed_rows(odd)
     assert out.columns == odd.columns
