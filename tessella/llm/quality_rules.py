@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
 The rules compare counts of a text with cutoffs.  Some are fixed (the base
-rules); the others are chosen on labelled documents so that, in each stratum
-(language), each rule rejects good documents at a rate of at most `risk`, with
-confidence 1 - delta over all strata and rules together.
-
-For a rule and stratum, cutoffs go from the mildest to the strictest.  For
-each, the exact (Clopper-Pearson) upper bound on the rate of rejected good
-documents is computed; the walk ends before the first cutoff whose bound
-exceeds the risk (fixed-sequence testing, so the steps need no correction),
-and each walk has the level delta / (rules * strata) (Bonferroni over walks).
-A walk that ends at once leaves the rule off in that stratum, as do strata
-with no labels.
+rules); the others are chosen on labelled documents so that in each stratum
+(language) all of them together reject good documents at a rate of at most
+`risk`, with confidence 1 - delta over all strata.
+
+Each labelled good document counts once.  A part of them, dealt by a hash of
+the id, settles a path for each stratum: from all rules off, step by step that
+rule is tightened to its next cutoff that costs the fewest good documents of
+this part.  On the other part the path is walked: at each step the exact
+(Clopper-Pearson) upper bound on the rate of good documents that any rule
+rejects is computed, and the walk ends before the first step whose bound
+exceeds the risk.  The path does not depend on the documents it is tested on,
+so its steps need no correction (fixed-sequence testing); each walk has the
+level delta / strata (Bonferroni).  A walk that ends at once leaves the rules
+off in that stratum, as do strata with no labels.
 
 Counting is one pass of JVM expressions over whole texts; labels meet counts
-in a join of ids and numbers; the driver sees one row a stratum and rule.
+in a join of ids and numbers; the driver sees how many good documents of a
+stratum pass how many cutoffs of each rule, at most a row for each combination.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, let, literal_rows, written
 
 WINDOW = 8
+#: More strata with labels are an error: their cutoffs would not fit into a bounded broadcast.
 MAX_STRATA = 10_000
 
 
@@ -56,6 +61,9 @@ def within_risk(n: int, k: int, risk: float, level: float) -> bool:
 class Risk:
     risk: float = 0.02
     delta: float = 0.05
+    #: share of the labelled good documents that the paths are settled on
+    tuned: float = 0.3
+    seed: int = 3
     #: rule -> cutoffs, mildest first; a text is rejected where the rule's value is above the cutoff
     cutoffs: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
@@ -143,31 +151,69 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+Passed = dict[tuple[int, ...], int]
+
+
+def path(passed: Passed, steps: tuple[int, ...]) -> list[int]:
+    """Rules in the order of tightening.  passed: documents by the number of cutoffs of each rule that they pass; steps: cutoffs a rule has.
+
+    Ties go to the rule that has the smallest share of its steps behind it, then to the first.
+    """
+    at = [0] * len(steps)
+    out: list[int] = []
+    left = dict(passed)
+    while len(out) < sum(steps):
+        cost = {r: sum(n for p, n in left.items() if p[r] <= at[r]) for r in range(len(steps)) if at[r] < steps[r]}
+        r = min(cost, key=lambda r: (cost[r], at[r] / steps[r], r))
+        left = {p: n for p, n in left.items() if p[r] > at[r]}
+        at[r] += 1
+        out.append(r)
+    return out
+
+
+def certified(tune: Passed, test: Passed, steps: tuple[int, ...], risk: float, level: float) -> list[int]:
+    """How many cutoffs of each rule are on, after the longest walk along the path with a bound within the risk at each step."""
+    n = sum(test.values())
+    at = [0] * len(steps)
+    for r in path(tune, steps):
+        on = [a + (k == r) for k, a in enumerate(at)]
+        rejected = sum(m for p, m in test.items() if any(x < y for x, y in zip(p, on)))
+        if not within_risk(n, rejected, risk, level):
+            break
+        at = on
+    return at
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, control: Risk, id_col: str, label_col: str) -> dict[str, dict[str, float]]:
     """stratum -> rule -> cutoff, of the strata and rules that have one.
 
     Good documents are those labelled 1 that pass the base rules.  Several
-    labels of one document count once, as the worst of them; null labels and
-    ids count as none.
+    labels of one document count once, as the worst of them, and so do several
+    rows of one id in a stratum, rejected where any of them is; null labels
+    and ids count as none.
     """
     labels = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id")
     held = measured.join(good, "id").where(~base_failed())
     signals = _signals()
-    rejected = [
-        F.count_if(signals[rule] > cutoff).alias(f"{rule}__{k}") for rule, cutoffs in control.cutoffs.items() for k, cutoff in enumerate(cutoffs)
-    ]
-    rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *rejected).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
+    # cutoffs go down, so what passes the k-th passes those before it
+    passes = [F.min(sum((signals[rule] <= cutoff).cast("int") for cutoff in cutoffs)).alias(rule) for rule, cutoffs in control.cutoffs.items()]
+    once = held.groupBy("id", "stratum").agg(*passes)
+    tuning = (F.pmod(F.xxhash64(F.lit(control.seed), "id"), F.lit(1000)) < int(1000 * control.tuned)).alias("tuning")
+    rules = list(control.cutoffs)
+    rows = once.groupBy("stratum", tuning, *rules).agg(F.count("*").alias("n")).collect()
+    strata = sorted({r["stratum"] for r in rows})
+    if len(strata) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata: choose a coarser column")
-    level = control.delta / max(1, len(rows) * len(control.cutoffs))
+    steps = tuple(len(c) for c in control.cutoffs.values())
+    parts: dict[tuple[str, bool], Passed] = {}
+    for r in rows:
+        parts.setdefault((r["stratum"], r["tuning"]), {})[tuple(r[rule] for rule in rules)] = r["n"]
     chosen: dict[str, dict[str, float]] = {}
-    for row in rows:
-        for rule, cutoffs in control.cutoffs.items():
-            for k, cutoff in enumerate(cutoffs):
-                if not within_risk(row["n"], row[f"{rule}__{k}"], control.risk, level):
-                    break
-                chosen.setdefault(row["stratum"], {})[rule] = cutoff
+    for s in strata:
+        on = certified(parts.get((s, True), {}), parts.get((s, False), {}), steps, control.risk, control.delta / len(strata))
+        if any(on):
+            chosen[s] = {rule: control.cutoffs[rule][k - 1] for rule, k in zip(rules, on) if k}
     return chosen
 
 
@@ -179,7 +225,9 @@ def apply_rules(
     A null text has no words and fails the base rules, as do empty texts.  A
     null stratum is the stratum ''.  A cutoff rejects values above it, so ties
     are kept.  Without labels no cutoff is certified and the base rules decide
-    alone.  Repeated rows are judged each; an empty table gives no rows.
+    alone.  Repeated rows are judged each; an empty table gives no rows.  Other
+    columns may have any names and are not read.  More than MAX_STRATA strata
+    with labels raise ValueError.
     """
     spark = docs.sparkSession
     measured = written(counts(docs, id_col, text_col, stratum_col), "counts")

@@ -399,6 +399,82 @@ def test_cutoffs_are_certified_per_stratum(spark):
     assert all(out[1000 + k].kept == (k % 2 == 1) for k in range(20))  # 40 labels in de certify nothing
 
 
+def test_walks_keep_all_rules_together_within_the_risk():
+    """Simulated: over many samples of labelled documents, the true rate of rejected good ones is above the risk in at most delta of them."""
+    rng = np.random.default_rng(5)
+    steps, risk, delta = (3, 4, 2), 0.05, 0.1
+    kinds = [(3, 4, 2), (2, 4, 2), (3, 3, 2), (3, 4, 1), (1, 2, 2), (0, 4, 0), (3, 0, 2)]
+    share = np.array([0.86, 0.03, 0.03, 0.03, 0.02, 0.02, 0.01])
+    broken, useful = 0, 0
+    for _ in range(300):
+        tune, test = (dict(zip(kinds, rng.multinomial(n, share).tolist())) for n in (120, 280))
+        on = quality_rules.certified(tune, test, steps, risk, delta)
+        true = sum(p for k, p in zip(kinds, share) if any(x < y for x, y in zip(k, on)))
+        broken += true > risk
+        useful += any(on)
+    assert broken <= 300 * delta * 1.3 and useful > 150
+    assert quality_rules.certified({}, {}, steps, risk, delta) == [0, 0, 0]
+
+
+def test_kept_as_by_brute_force(spark):
+    import random
+    from math import comb
+
+    r = random.Random(8)
+    rule = {"symbols_per_word": (1.0, 0.5, 0.2), "dup_lines_share": (0.6, 0.3), "chars_per_word": (30.0, 15.0)}
+    control = quality_rules.Risk(risk=0.08, delta=0.2, cutoffs=rule)
+
+    def text():
+        words = [f"w{r.randrange(10**6)}" * r.choice([1, 1, 1, 1, 1, 7]) for _ in range(r.randint(25, 40))]
+        if r.random() < 0.08:
+            words = [w + "###" for w in words]
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        return "\n".join(lines + lines[:1] * (r.random() < 0.05))
+
+    data = [(k, text(), r.choice(["en", "de", None])) for k in range(1500)]
+    data += [(k, text(), data[k][2]) for k in range(0, 60)]  # ids that repeat with other texts
+    labels = [(k, int(r.random() < 0.9), 0) for k in range(0, 1500, 2)] + [(4, 0, 0), (None, 1, 0), (6, None, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("stratum", F.lit("clash"))
+    out = quality_rules.apply_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), control).collect()
+
+    def signals(t):
+        n, chars, symbols, dup, _ = slow_counts(t)
+        return {"symbols_per_word": symbols / n, "dup_lines_share": dup / len([x for x in t.split("\n") if x.split()]), "chars_per_word": chars / n}
+
+    failed = lambda t: slow_counts(t)[0] < 20 or 100 * slow_counts(t)[4] > 30 * slow_counts(t)[0]
+    worst = {}
+    for k, q, _ in labels:
+        if k is not None and q is not None:
+            worst[k] = min(q, worst.get(k, 1))
+    tuning = {x.id for x in spark.range(1500).where(F.pmod(F.xxhash64(F.lit(control.seed), "id"), F.lit(1000)) < 300).collect()}
+    held = defaultdict(dict)
+    for k, t, lang in data:
+        if worst.get(k) == 1 and not failed(t):
+            held[lang or ""].setdefault(k, []).append(signals(t))
+    cut = {}
+    for lang, of in held.items():
+        bad = lambda ids, on: sum(any(s[x] > rule[x][n - 1] for s in of[k] for x, n in on.items() if n) for k in ids)  # noqa: B023, E731
+        tune, test = [k for k in of if k in tuning], [k for k in of if k not in tuning]
+        on, done = dict.fromkeys(rule, 0), dict.fromkeys(rule, 0)
+        while True:
+            more = [(bad(tune, on | {x: on[x] + 1}), on[x] / len(rule[x]), k, x) for k, x in enumerate(rule) if on[x] < len(rule[x])]
+            if not more:
+                break
+            on = on | {min(more)[3]: on[min(more)[3]] + 1}
+            n, k = len(test), bad(test, on)
+            tail = sum(comb(n, i) * 0.08**i * 0.92 ** (n - i) for i in range(k + 1))
+            if k > 0.08 * n or tail > 0.2 / len(held):
+                break
+            done = on
+        cut[lang] = done
+    assert any(n for c in cut.values() for n in c.values())
+    want = Counter()
+    for k, t, lang in data:
+        on = cut.get(lang or "", {})
+        want[k, not failed(t) and not any(signals(t)[x] > rule[x][n - 1] for x, n in on.items() if n)] += 1
+    assert Counter((x.doc_id, x.kept) for x in out) == want
+
+
 def test_quality_rules_nothing(spark, empty):
     assert quality_rules.apply_rules(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
