@@ -23,19 +23,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_duplicates(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
-    """Operator 8: of each component of linked fingerprints the smallest id stays.
+#: What counts as a near copy: the Jaccard similarity of sets of five-word shingles.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
-    Its contract (three-word shingles, two bits) misses most near copies.  With
-    a similarity, those of what is left go too whose sets of five-word shingles
-    are that similar.
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near copies stays, the smallest id.
+
+    SimHash fingerprints of five-word shingles join what differs in at most
+    two bits.  At a similarity of 0.8 two fingerprints differ in some ten of
+    64 bits, where an index on bytes guarantees no match; the operator's
+    bands of least shingle hashes find those pairs, and each is verified on
+    whole sets of shingles.
     """
-    left = simhash.one_of_each(docs)
-    return left if similarity is None else near_text.without_near_copies(written(left, "near-fingerprints"), similarity=similarity)
+    left = simhash.one_of_each(docs, shingle=NEAR_SHINGLE)
+    return near_text.without_near_copies(written(left, "near-fingerprints"), shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: each document as often as the mix takes it, a row for each copy."""
+    """Operator 4: each document as often as the mix takes it, a row for each copy, shard after shard in their order."""
     return mixing.mixed_rows(docs)
 
 
