@@ -136,9 +136,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component, their columns untouched; rows with a null id stay."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull())
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of docs whose id names their component, their columns untouched; rows with a null id stay, and so do all rows that share a kept id."""
+    kept = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull())
     return semi(docs, kept.select(id_col), id_col)
 
 
