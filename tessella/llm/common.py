@@ -61,7 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{next(_count):05d}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more; others are left to the end of the application."""
+    for df in frames:
+        if (path := getattr(df, "_written_to", None)) is not None:
+            _remove(df.sparkSession, path)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -1,8 +1,17 @@
 """Near copies by the Jaccard similarity of shingle sets: MinHash bands find candidates, the sets decide.
 
-A pair at similarity 0.8 misses all 20 bands of 4 with a chance of 3 in
-100,000, and more similar ones with less.  Each candidate pair is verified on
-the whole sets, so nothing below the similarity is linked.
+A pair at similarity 0.8 misses all 24 bands of 6 with a chance of 7 in
+10,000, one at 0.85 with 3 in 1,000,000; pairs at 0.3, which shared passages
+make by the million, meet in 2 of 100 cases.  Each candidate pair is verified
+on the whole sets, so nothing below the similarity is linked.
+
+Each list has a leader, drawn by hash, so that a document of a large group
+meets different members in different lists.  First each document is compared
+with one leader, the one it shares most bands with; what is linked goes, and
+with it nearly all of a large group.  Of what is left, short lists are paired;
+in long ones all members are compared with the leader, what is linked goes, and
+so on.  A long list whose leader finds nothing more (texts with a passage in
+common) is split by a further band: pairs of copies share others as well.
 """
 
 from __future__ import annotations
@@ -12,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import semi, utf8_batches, written
+from tessella.llm.common import discard, semi, utf8_batches, written
 from tessella.llm.components import connected_components
 
-BANDS, PER_BAND = 20, 4
-#: Bands' lists above this size are compared with their smallest id, round after round, before any is paired.
+BANDS, PER_BAND = 24, 6
+#: Longer lists are not paired: they are compared with a leader or split.
 PAIRED_AT_MOST = 50
 
 
@@ -31,17 +40,21 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(r, 42) for r in runs), np.uint64, len(runs)))
 
 
+def _odd() -> np.ndarray:
+    """A multiplier for each hash function: products of random 64-bit hashes with odd numbers are permutations of them."""
+    return np.random.default_rng(7).integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_ODD = _odd()
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One number a band."""
     from xxhash import xxh64_intdigest
 
-    rng = np.random.default_rng(7)
-    n = BANDS * PER_BAND
-    flip, odd = (rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        x = (hashes[at : at + 4096, None] ^ flip) * odd
-        least = np.minimum(least, ((x ^ (x >> np.uint64(29))) * odd).min(axis=0))
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[None, at : at + 512] * _ODD[:, None]).min(axis=1))
     return np.array([xxh64_intdigest(least[k * PER_BAND : (k + 1) * PER_BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
@@ -61,43 +74,87 @@ def _bands(text, shingle: int) -> np.ndarray:
     return band_keys(hashes) if len(hashes) else hashes
 
 
+def _alike(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of at least this similarity, written.  Sets are made again for the documents of pairs only."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    view = lambda t: shingle_set(t, shingle).view(np.int64)
+    sets = written(_lists(semi(docs, ids, id_col), id_col, text_col, "hashes", view), "shingle-sets")
+    of_u, of_v = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"of_{c}")) for c in ("u", "v"))
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    alike = common >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - common)
+    out = written(pairs.join(of_u, "u").join(of_v, "v").where(alike).select("u", "v").distinct(), "near-links")
+    discard(sets)
+    return out
+
+
+def _lists_of(keyed: DataFrame) -> DataFrame:
+    """(id, band, last, n, leader) of keyed (id, band, last, ...) in lists of two or more."""
+    lists = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id")).alias("first"))
+    return keyed.join(lists.where("n > 1"), "band").select("id", "band", "last", "n", F.col("first.id").alias("leader"))
+
+
+def _split(rows: DataFrame, long_: DataFrame) -> DataFrame:
+    """Long lists by each further band of their members."""
+    more = long_.select("id", "band", "last").join(rows, "id").select("id", "band", "last", F.posexplode("bands").alias("at", "other")).where("at > last")
+    return more.select("id", F.xxhash64("band", "other").alias("band"), F.col("at").alias("last"))
+
+
+def _led(shared: DataFrame) -> DataFrame:
+    return shared.where("id <> leader").select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v"))
+
+
 def without_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, paired_at_most: int = PAIRED_AT_MOST
 ) -> DataFrame:
     """The rows of docs without those linked, over pairs of at least this similarity, to a smaller id that stays.
 
-    Rows with a null id or without words stay.  Bands' lists of up to
-    paired_at_most ids are paired; in longer ones (a large group of copies)
-    each is compared with the smallest id, those linked go, and the rest is
-    looked at again.  When no more go, what is left of a long list is paired.
+    No two of the rows that stay and meet in a band (two, where its list is
+    long) are that similar.  Rows with a null id or without words stay.  Rows
+    that share an id stay or go together.  Other columns may have any names
+    and are not read; an empty table gives no rows.
     """
     rows = written(_lists(docs, id_col, text_col, "bands", lambda t: _bands(t, shingle)), "bands")
-    removed, by = None, ["list", "bytes"]
+    removed, checked, first, split = None, [], True, False
     while True:
-        postings = rows.select("id", F.posexplode("bands").alias("list", "bytes")).distinct()
-        lengths = postings.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-        shared = written(postings.join(lengths, by), "bands-shared")
-        long_ = shared.where(F.col("n") > paired_at_most)
-        crowded = not long_.isEmpty()
-        short = shared.where(F.col("n") <= paired_at_most)
-        a, b = (short.select(*by, F.col("id").alias(c)) for c in ("u", "v"))
-        pairs = a.join(b, by).where("u > v").select("u", "v").unionAll(long_.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")))
-        pairs = written(pairs.distinct(), "bands-pairs")
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        view = lambda t: shingle_set(t, shingle).view(np.int64)
-        sets = written(_lists(semi(docs, ids, id_col), id_col, text_col, "hashes", view), "shingle-sets")
-        of_u, of_v = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"of_{c}")) for c in ("u", "v"))
-        common = F.size(F.array_intersect("of_u", "of_v"))
-        alike = common >= F.lit(similarity) * (F.size("of_u") + F.size("of_v") - common)
-        links = written(pairs.join(of_u, "u").join(of_v, "v").where(alike).select("u", "v").distinct(), "near-links")
-        if not links.isEmpty():
+        shared = written(_lists_of(rows.select("id", F.posexplode("bands").alias("last", "band"))), "bands-shared")
+        tables = [shared]
+        if first:
+            met = shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+            best = met.groupBy("id").agg(F.max_by("leader", F.struct("n", F.xxhash64("id", "leader"))).alias("leader"))
+            found, crowded = _led(best), True
+        else:
+            found, now = None, shared
+            while True:
+                a, b = (now.where(F.col("n") <= paired_at_most).select("band", F.col("id").alias(c)) for c in ("u", "v"))
+                pairs = a.join(b, "band").where("u > v").select("u", "v")
+                found = pairs if found is None else found.unionAll(pairs)
+                long_ = now.where(F.col("n") > paired_at_most)
+                crowded = not long_.isEmpty()
+                if not (crowded and split):
+                    found = found.unionAll(_led(long_))
+                    break
+                now = written(_lists_of(_split(rows, long_)), "bands-split")  # ends with the last band at the latest
+                tables.append(now)
+        found = found.distinct()
+        for done in checked:
+            found = found.join(done, ["u", "v"], "left_anti")
+        pairs = written(found, "bands-pairs")
+        links = _alike(docs, pairs, id_col, text_col, shingle, similarity)
+        discard(*tables)
+        checked.append(pairs)
+        none = links.isEmpty()
+        if not none:
             going = written(connected_components(links).where("node <> root").select("node").distinct(), "near-gone")
             removed = going if removed is None else removed.unionAll(going)
-            rows = written(rows.join(going, rows["id"] == going["node"], "left_anti"), "bands")
-        elif crowded:
-            paired_at_most = 1 << 62
-        if not crowded:
+            before, rows = rows, written(rows.join(going, rows["id"] == going["node"], "left_anti"), "bands")
+            discard(before)
+        discard(links)
+        # without long lists, or with those split, all that meets was compared
+        if not first and (not crowded or split):
             break
+        split = not first and none
+        first = False
+    discard(rows, *checked)
     if removed is None:
         return docs
     return docs.join(removed.toDF("__key"), docs[id_col] == F.col("__key"), "left_anti")

@@ -35,6 +35,8 @@ BITS = 20
 BEGINNINGS = (3, 4, 5, 6)
 #: Words that a worker remembers at once; longer words are never remembered.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+#: Documents whose features are summed at once in a step of the fit.
+PART = 1024
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
 _CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
@@ -149,8 +151,9 @@ def fit(rows: list[tuple[int, np.ndarray]], ids: np.ndarray, grades: int, how: F
         return Model(None, tuple(float(k) for k in range(grades - 1)))
     g = np.array([k for k, _ in rows])
     n, m = len(rows), len(ids)
-    col = np.concatenate([x for _, x in rows]).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(x) for _, x in rows])
+    parts = [rows[k : k + PART] for k in range(0, n, PART)]
+    # row and column of each present feature, in parts: a step's temporaries are of a part's size
+    cells = [(np.repeat(np.arange(len(p), dtype=np.int32), [len(x) for _, x in p]), np.concatenate([x for _, x in p]).astype(np.int32)) for p in parts]
     below = np.cumsum(np.bincount(g, minlength=grades) + 1.0)
     below = below[:-1] / below[-1]
     at = np.concatenate([np.zeros(m), np.log(below / (1 - below))])
@@ -163,11 +166,13 @@ def fit(rows: list[tuple[int, np.ndarray]], ids: np.ndarray, grades: int, how: F
 
     for step in range(how.steps):
         w, t = at[:m], at[m:]
-        f = np.bincount(row, weights=w[col], minlength=n)
+        f = np.concatenate([np.bincount(row, weights=w[col], minlength=len(p)) for p, (row, col) in zip(parts, cells)])
         a = np.where(has_upper, sigmoid(t[upper] - f), 1.0)
         b = np.where(has_lower, sigmoid(t[lower] - f), 0.0)
         p = np.maximum(a - b, 1e-9)
-        slope = np.bincount(col, weights=(1 - a - b)[row], minlength=m) + how.l2 * w + how.l1 * np.sign(w)
+        slope = how.l2 * w + how.l1 * np.sign(w)
+        for k, (row, col) in enumerate(cells):
+            slope += np.bincount(col, weights=(1 - a - b)[k * PART : (k + 1) * PART][row], minlength=m)
         tilt = np.bincount(lower, weights=has_lower * b * (1 - b) / p, minlength=grades - 1)
         tilt -= np.bincount(upper, weights=has_upper * a * (1 - a) / p, minlength=grades - 1)
         gradient = np.concatenate([slope, tilt]) / n

@@ -91,6 +91,7 @@ def test_near_dedup_drops_near_copies_of_five_words(spark):
     kept = lambda df: {r.doc_id for r in df.collect()}
     want = {*texts, None, -5, -4} - gone
     assert kept(near_text.without_near_copies(docs)) == want
+    assert kept(near_text.without_near_copies(docs, paired_at_most=1)) == want  # all lists are long: led, then split
     assert kept(corpus_pipeline.near(spark, docs, SF)) == want - {-4}  # without words: equal fingerprints
 
 
