@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import itertools
 import json
 import tempfile
@@ -73,6 +74,12 @@ def discard(*frames: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the steps of a long job: shuffle files and broadcasts of finished steps go when the driver's garbage is collected, which may be hours away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small DataFrame from driver values by JVM expressions only; no rows give an empty frame."""
     kind = T.ArrayType(T._parse_datatype_string(schema))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, literal_rows, written
+from tessella.llm.common import WORD, literal_rows, tidy, written
 
 #: More sources are an error: their targets and blocks would not fit into a bounded plan.
 MAX_SOURCES = 10_000
@@ -236,7 +236,8 @@ def mix(
         for rank, b in enumerate(sorted(range(blocks[k]), key=ranks.__getitem__)):
             per_block.append(n | {"block": b, "bucket": rank, "before": before, "shards": drawn[b].tolist()})
             before += sums.get((n["none"], n["name"], b), 0)
-    per_block = literal_rows(spark, per_block, "none boolean, name string, block int, bucket int, before long, shards array<int>")
+    # as a table, so that plans do not carry all of it
+    per_block = written(literal_rows(spark, per_block, "none boolean, name string, block int, bucket int, before long, shards array<int>"), "mix-blocks")
     per_block = per_block.select(F.struct("none", "name").alias("source"), "block", "bucket", "before", "shards")
     inside = Window.partitionBy("source", "block").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
@@ -252,6 +253,7 @@ def mix(
     gaps = placed.where(words).groupBy("source").agg((F.first(rest) - F.coalesce(F.max(F.when(early, F.col("start") + F.col("size"))), F.lit(0))).alias("gap"))
     later = placed.where(words & ~early).select("source", "bucket", "size", "h", "start")
     filled = fill(later, {(r["source"]["none"], r["source"]["name"]): r["gap"] for r in gaps.collect()})
+    tidy(spark)
     off = F.abs(F.col("size") - F.col("left"))
     free = later.join(F.broadcast(filled), F.col("source") == F.col("of")).where((off < F.col("left")) & ~in_runs())
     fit = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), "size", "h", "start")).alias("fit"))

@@ -9,9 +9,9 @@ Each list has a leader, drawn by hash, so that a document of a large group
 meets different members in different lists.  First each document is compared
 with one leader, the one it shares most bands with; what is linked goes, and
 with it nearly all of a large group.  Of what is left, short lists are paired;
-in long ones all members are compared with the leader, what is linked goes, and
-so on.  A long list whose leader finds nothing more (texts with a passage in
-common) is split by a further band: pairs of copies share others as well.
+in long ones all members are compared with the leader.  Lists that stay long
+(texts with a passage in common) are split by a further band, and again: pairs
+of copies share others as well.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, semi, utf8_batches, written
+from tessella.llm.common import discard, semi, tidy, utf8_batches, written
 from tessella.llm.components import connected_components
 
 BANDS, PER_BAND = 24, 6
@@ -108,53 +108,64 @@ def without_near_copies(
 ) -> DataFrame:
     """The rows of docs without those linked, over pairs of at least this similarity, to a smaller id that stays.
 
-    No two of the rows that stay and meet in a band (two, where its list is
-    long) are that similar.  Rows with a null id or without words stay.  Rows
+    No two of the rows that stay are that similar, if they meet in a band
+    whose list is short, or in several where lists are long.  Rows with a null id or without words stay.  Rows
     that share an id stay or go together.  Other columns may have any names
     and are not read; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = written(_lists(docs, id_col, text_col, "bands", lambda t: _bands(t, shingle)), "bands")
-    removed, checked, first, split = None, [], True, False
-    while True:
-        shared = written(_lists_of(rows.select("id", F.posexplode("bands").alias("last", "band"))), "bands-shared")
-        tables = [shared]
-        if first:
-            met = shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
-            best = met.groupBy("id").agg(F.max_by("leader", F.struct("n", F.xxhash64("id", "leader"))).alias("leader"))
-            found, crowded = _led(best), True
-        else:
-            found, now = None, shared
-            while True:
-                a, b = (now.where(F.col("n") <= paired_at_most).select("band", F.col("id").alias(c)) for c in ("u", "v"))
-                pairs = a.join(b, "band").where("u > v").select("u", "v")
-                found = pairs if found is None else found.unionAll(pairs)
-                long_ = now.where(F.col("n") > paired_at_most)
-                crowded = not long_.isEmpty()
-                if not (crowded and split):
-                    found = found.unionAll(_led(long_))
-                    break
-                now = written(_lists_of(_split(rows, long_)), "bands-split")  # ends with the last band at the latest
-                tables.append(now)
+    shared = written(_lists_of(rows.select("id", F.posexplode("bands").alias("last", "band"))), "bands-shared")
+    removed: DataFrame | None = None
+    checked: list[DataFrame] = []
+
+    def compare(found: DataFrame) -> bool:
+        """Verifies the pairs that are new; whether any documents go."""
+        nonlocal removed
         found = found.distinct()
         for done in checked:
             found = found.join(done, ["u", "v"], "left_anti")
         pairs = written(found, "bands-pairs")
         links = _alike(docs, pairs, id_col, text_col, shingle, similarity)
-        discard(*tables)
         checked.append(pairs)
-        none = links.isEmpty()
-        if not none:
-            going = written(connected_components(links).where("node <> root").select("node").distinct(), "near-gone")
-            removed = going if removed is None else removed.unionAll(going)
-            before, rows = rows, written(rows.join(going, rows["id"] == going["node"], "left_anti"), "bands")
-            discard(before)
+        going = written(connected_components(links).where("node <> root").select("node").distinct(), "near-gone")
         discard(links)
-        # without long lists, or with those split, all that meets was compared
-        if not first and (not crowded or split):
-            break
-        split = not first and none
-        first = False
-    discard(rows, *checked)
+        tidy(spark)
+        if going.isEmpty():
+            return False
+        removed = going if removed is None else removed.unionAll(going)
+        return True
+
+    def left(shared: DataFrame) -> DataFrame:
+        """The lists without the documents that went."""
+        if removed is None:
+            return shared
+        kept = shared.select("id", "band", "last").join(removed.toDF("__gone"), F.col("id") == F.col("__gone"), "left_anti")
+        out = written(_lists_of(kept), "bands-left")
+        discard(shared)
+        return out
+
+    def paired(now: DataFrame) -> DataFrame:
+        """All pairs of short lists, and those with the leader of long ones."""
+        a, b = (now.where(F.col("n") <= paired_at_most).select("band", F.col("id").alias(c)) for c in ("u", "v"))
+        return a.join(b, "band").where("u > v").select("u", "v").unionAll(_led(now.where(F.col("n") > paired_at_most)))
+
+    met = shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    if compare(_led(met.groupBy("id").agg(F.max_by("leader", F.struct("n", F.xxhash64("id", "leader"))).alias("leader")))):
+        shared = left(shared)
+    if compare(paired(shared)):
+        shared = left(shared)
+    long_ = shared.where(F.col("n") > paired_at_most)
+    if not long_.isEmpty():
+        found, tables = None, []
+        while not long_.isEmpty():  # ends with the last band at the latest
+            now = written(_lists_of(_split(rows, long_)), "bands-split")
+            tables.append(now)
+            found = paired(now) if found is None else found.unionAll(paired(now))
+            long_ = now.where(F.col("n") > paired_at_most)
+        compare(found)
+        discard(*tables)
+    discard(rows, shared, *checked)
     if removed is None:
         return docs
     return docs.join(removed.toDF("__key"), docs[id_col] == F.col("__key"), "left_anti")

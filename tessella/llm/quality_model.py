@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import utf8_batches, written
+from tessella.llm.common import tidy, utf8_batches, written
 
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6)
@@ -201,21 +201,35 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, how: Fit = Fit(), id
     # about how.sample rows of two numbers are sent
     joined = texts.join(F.broadcast(sampled), "id").select("id", "text", "grade")
     known = written(joined.mapInArrow(rated, "id long, grade int, features binary"), "rated-features")
-    # the sample comes a partition at a time, twice: to count, and for the features that count
-    counts, sizes = np.zeros((grades, 1 << BITS), np.int32), np.zeros(grades, np.int64)
-    for r in known.toLocalIterator():
-        counts[r["grade"], np.frombuffer(r["features"], np.uint32)] += 1
-        sizes[r["grade"]] += 1
-    if not sizes.any():
+    # one task fits the model: the sample is bounded, and the driver sees the weights only
+    fitted = written(known.coalesce(1).mapInArrow(lambda batches: _fitted(batches, grades, how), "feature long, weight double"), "model").collect()
+    tidy(docs.sparkSession)
+    weights = {r["feature"]: r["weight"] for r in fitted if r["feature"] >= 0}
+    thresholds = sorted((-1 - r["feature"], r["weight"]) for r in fitted if r["feature"] < 0)
+    if not thresholds:
         return fit([], np.zeros(0, np.int64), grades, how)
+    return Model(weights, tuple(t for _, t in thresholds))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], grades: int, how: Fit) -> Iterator[pa.RecordBatch]:
+    """Of the whole sample (id, grade, features): rows (feature, weight), and thresholds as features -1, -2, ...; no rows of a sample of none."""
+    rows = sorted((i, g, x) for b in batches for i, g, x in zip(*(b.column(k).to_pylist() for k in range(3))))
+    if not rows:
+        return
+    counts, sizes = np.zeros((grades, 1 << BITS), np.int32), np.zeros(grades, np.int64)
+    for _, g, x in rows:
+        counts[g, np.frombuffer(x, np.uint32)] += 1
+        sizes[g] += 1
     ids = significant(counts, sizes, how)
     place = np.full(1 << BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
-    rows = []
-    for r in known.toLocalIterator():
-        at = place[np.frombuffer(r["features"], np.uint32)]
-        rows.append((r["id"], r["grade"], at[at >= 0].tobytes()))
-    return fit([(g, np.frombuffer(x, np.int32)) for _, g, x in sorted(rows)], ids, grades, how)
+    known = []
+    for _, g, x in rows:
+        at = place[np.frombuffer(x, np.uint32)]
+        known.append((g, at[at >= 0]))
+    model = fit(known, ids, grades, how)
+    features = [*model.weights, *(-1 - k for k in range(len(model.thresholds)))]
+    yield pa.RecordBatch.from_arrays([pa.array(features, pa.int64()), pa.array([*model.weights.values(), *model.thresholds], pa.float64())], ["feature", "weight"])
 
 
 def scorer(docs: DataFrame, model: Model):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import semi, utf8_batches, written
+from tessella.llm.common import semi, tidy, utf8_batches, written
 from tessella.llm.components import connected_components
 
 BYTES, LINK_BITS = 8, 2
@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(fps.select("fp")))
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
+    tidy(docs.sparkSession)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
