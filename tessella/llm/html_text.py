@@ -1,19 +1,23 @@
 """Main text of web pages, with site templates removed.
 
-Each page is read into a tree once.  Every element's subtree is hashed from
-its tag, class, text and children; Spark counts on how many pages of a host
-each hash occurs, and subtrees that recur on many of them are templates, which
-are deleted.  Elements whose tag, role or class says that they are not main
-text (menus, footers, adverts, forms, comments and the like) go anyway.
-
-The main text is that of the page's article if it has one.  Inside an article
-only subtrees without prose (paragraphs, headings, lists and the like) count
-as templates, so that an article published on many pages stays whole.
+Each page is read into a tree once, without recursion, so any depth will do.
+Every element's subtree is hashed from its tag, class, text and children;
+Spark counts on how many pages of a host each hash occurs, and subtrees that
+recur on many of them are templates, which are deleted.  Elements whose tag,
+role or class says that they are not main text (menus, footers, adverts,
+forms, comments and the like) go anyway.
+
+The main text is that of the page's articles if it has any, else of <main>,
+else of the whole body.  Where an article says what the text is, only subtrees
+without prose (paragraphs, headings, lists and the like) can go as templates
+inside it, so that an article, or a passage of it, published on many pages
+stays whole.  Where nothing says so, any recurring subtree goes.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial
 from html import unescape
 
 import numpy as np
@@ -27,7 +31,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|iframe|object|select|math|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    # quotes belong to an attribute's value only where they open it and close again; else the tag ends at the next ">"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"<]*\"|=\s*'[^'<]*'|=)*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -42,12 +47,26 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _BARRIERS = frozenset("ul ol dl table div section article aside nav main body td th".split())
 _DROPPED = frozenset("head title nav footer aside form button menu dialog label input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|sidebar|side-bar|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|share|sharing|social|comments?|comment-list|disqus|respond|related|recommend\w*|newsletter|subscribe|footer|masthead|site-header|page-header|toolbar|paywall)"
-    r"(?:$|[\s_-])",
-    re.I,
+#: Fixed values, the fallback where no template is known.  A class or id names a part that is no main text when all its hyphenated words
+#: are in these lists and one is in the first: "site-footer" and "ad" do, "notice-board", "share-price" and "social" do not.
+_PARTS = frozenset(
+    "ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal sidebar menu nav navbar "
+    "navigation breadcrumb breadcrumbs share sharing comment comments disqus respond related recommended recommendations newsletter subscribe footer masthead toolbar paywall".split()
 )
+_WITH = frozenset("site page post article main global top bottom left right side wrapper container area section box bar list links buttons block widget social content inner header form message".split())
+
+
+#: Reader comments are often articles of their own.
+_COMMENT = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+
+
+def _is_part(names: str) -> bool:
+    """Whether a class or id attribute names a part that is no main text."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if any(w in _PARTS for w in words) and all(w in _PARTS or w in _WITH or w.isdigit() for w in words):
+            return True
+    return bool({"site-header", "page-header"} & {*names.lower().split()})
 
 
 class _Node:
@@ -90,7 +109,7 @@ def parse(html: str) -> _Node:
             said = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(m[4])}
         name = f"{said.get('class', '')} {said.get('id', '')}".strip()
         dropped = tag in _DROPPED or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or said.get("role", "").lower() in _ROLES
-        node = _Node(tag, name, dropped or bool(name and tag not in ("html", "body") and _NAMES.search(name)))
+        node = _Node(tag, name, dropped or bool(name and tag not in ("html", "body", "article", "main") and _is_part(name)) or (tag == "article" and bool(_COMMENT.search(name))))
         stack[-1].children.append(node)
         if not m[4].rstrip().endswith("/") or tag in _BLOCKS:
             stack.append(node)
@@ -108,83 +127,90 @@ def _close(stack: list[_Node], tags: set[str], barriers) -> None:
             return
 
 
-def _walk(node: _Node, hashes: set[int]) -> int:
-    """Hashes the subtree; length of its text."""
-    from xxhash import xxh64
+def _in_order(root: _Node) -> list[_Node]:
+    """All elements, parents before children."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return out
 
-    h, n = xxh64(f"{node.tag}\0{node.name}"), 0
-    for c in node.children:
-        if isinstance(c, str):
-            text = " ".join(c.split())
-            n += len(text)
-            if text:
-                h.update(b"\1" + text.encode())
-        else:
-            n += _walk(c, hashes)
-            node.prose |= c.prose
-            h.update(c.hash.to_bytes(8, "big", signed=True))
-    x = h.intdigest()
-    node.hash = x - (1 << 64) if x >> 63 else x
-    if node.tag in _BLOCKS:
-        hashes.add(node.hash)
-    return n
-
-
-def _find(node: _Node, wanted, found: list[_Node]) -> None:
-    for c in node.children:
-        if not isinstance(c, str) and not c.dropped:
-            if wanted(c):
-                found.append(c)
-            else:
-                _find(c, wanted, found)
 
+def _hash_all(root: _Node) -> set[int]:
+    """Hashes every subtree, children first; those of blocks."""
+    from xxhash import xxh64
 
-def _weight(node: _Node) -> int:
-    return 0 if node.dropped else sum(len(c) if isinstance(c, str) else _weight(c) for c in node.children)
+    hashes: set[int] = set()
+    for node in reversed(_in_order(root)):
+        h = xxh64(f"{node.tag}\0{node.name}")
+        for c in node.children:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    h.update(b"\1" + text.encode())
+            else:
+                node.prose |= c.prose
+                h.update(c.hash.to_bytes(8, "big", signed=True))
+        x = h.intdigest()
+        node.hash = x - (1 << 64) if x >> 63 else x
+        if node.tag in _BLOCKS:
+            hashes.add(node.hash)
+    return hashes
+
+
+def _outermost(root: _Node, tag: str) -> list[_Node]:
+    """Elements of the tag that are in no dropped element and in no other of the tag, in page order."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.dropped:
+            continue
+        if node.tag == tag:
+            found.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return found
 
 
-def segments(html: str) -> tuple[list[int], list[tuple[str, list[int]]]]:
-    """(distinct subtree hashes of the page, blocks of the main text with the hashes of the subtrees that may take them away)."""
+def segments(html: str) -> tuple[list[int], list[str], list[tuple[int, int, int]]]:
+    """(distinct subtree hashes of the page, blocks of its main text, and (hash, from, to) of the subtrees that may take those blocks away)."""
     root = parse(html)
-    hashes: set[int] = set()
-    _walk(root, hashes)
-    mains: list[_Node] = []
-    _find(root, lambda c: c.tag == "article", mains)
+    hashes = _hash_all(root)
+    mains = _outermost(root, "article")
     article = bool(mains)
-    if not article:
-        _find(root, lambda c: c.tag == "main", mains)
-    main = max(mains, key=_weight) if mains else root
-    out: list[tuple[str, list[int]]] = []
+    out: list[str] = []
+    spans: list[tuple[int, int, int]] = []
     line: list[str] = []
-    over: list[int] = []
 
     def end() -> None:
         if line:
             text = " ".join(unescape("".join(line)).split())
             if text:
-                out.append((text, list(dict.fromkeys(over))))
+                out.append(text)
             line.clear()
 
-    def emit(node: _Node) -> None:
-        for c in node.children:
+    def close(hashed: int, at: int) -> None:
+        end()
+        if len(out) > at:
+            spans.append((hashed, at, len(out)))
+
+    todo: list = []  # texts, elements, and what is to be done after an element's children
+    for main in mains or _outermost(root, "main") or [root]:
+        todo = [end, *reversed(main.children)]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 line.append(c)
+            elif callable(c):
+                c()
             elif not c.dropped and not (c.tag == "header" and not (article and c.prose)):
                 block = c.tag in _BLOCKS
                 if block:
                     end()
-                may_go = block and c.tag not in ("html", "body") and not (article and c.prose)
-                if may_go:
-                    over.append(c.hash)
-                emit(c)
-                if block:
-                    end()
-                if may_go:
-                    over.pop()
-
-    emit(main)
-    end()
-    return sorted(hashes), out
+                    may_go = c.tag not in ("html", "body") and not (article and c.prose)
+                    todo.append(partial(close, c.hash, len(out)) if may_go else end)
+                todo.extend(reversed(c.children))
+    return sorted(hashes), out, spans
 
 
 def host_of(url: str | None) -> str:
@@ -192,55 +218,55 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of each row of pages.
 
-    A subtree is a template when it is on at least min_pages pages of its host
-    and on at least min_share of them, so a host has at most 1 / min_share
-    times as many templates as a page has subtrees.  Character references are
+    A subtree is a template when it is on at least min_pages pages of its host,
+    however many pages that has: a section's menu is one too.  Character references are
     decoded, white space inside a block becomes one space, blocks are trimmed
     and joined in page order by two line breaks.  A null or empty page, or one
     without main text, gives an empty text.  A null url, or one without a
     host, belongs to the host ''.  Repeated rows count as pages of their own;
-    an empty table gives no rows.
+    an empty table gives no rows.  Elements may be nested to any depth, and
+    pages be of any length.  Other columns may have any names and are not read.
 
     Counting is by partial aggregates, and only pages with blocks that a
     template could take away are joined with the templates, by (host, hash).
     """
 
+    under = pa.list_(pa.struct([("hash", pa.int64()), ("from", pa.int32()), ("to", pa.int32())]))
+
     def read(batches):
-        under = pa.list_(pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64()))]))
         for keys, urls, htmls in utf8_batches(batches, ["id", "url", "html"], 64):
-            seen, segs = zip(*(segments(h or "") for h in htmls))
+            seen, segs, spans = zip(*(segments(h or "") for h in htmls))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, pa.int64()),
                     pa.array(urls, pa.string()),
                     pa.array(map(host_of, urls), pa.string()),
                     pa.array([np.array(s, np.int64) for s in seen], pa.list_(pa.int64())),
-                    pa.array([[{"text": t, "under": u} for t, u in s] for s in segs], under),
+                    pa.array(segs, pa.list_(pa.string())),
+                    pa.array([[{"hash": h, "from": a, "to": b} for h, a, b in s] for s in spans], under),
                 ],
-                ["id", "url", "host", "seen", "segs"],
+                ["id", "url", "host", "seen", "segs", "spans"],
             )
 
-    kind = "id long, url string, host string, seen array<bigint>, segs array<struct<text:string,under:array<bigint>>>"
+    kind = "id long, url string, host string, seen array<bigint>, segs array<string>, spans array<struct<hash:bigint,from:int,to:int>>"
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     trees = written(source.mapInArrow(read, kind).withColumn("row", F.monotonically_increasing_id()), "pages")
-    hosts = trees.groupBy("host").agg(F.count("*").alias("pages"))
     templates = (
         trees.select("host", F.explode("seen").alias("hash"))
         .groupBy("host", "hash")
         .agg(F.count("*").alias("on"))
         .where(F.col("on") >= min_pages)
-        .join(hosts, "host")
-        .where(F.col("on") >= min_share * F.col("pages"))
         .select("host", "hash")
     )
-    may_change = F.exists("segs", lambda s: F.size(s["under"]) > 0)
-    asked = trees.where(may_change).select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("segs.under")))).alias("hash"))
-    gone = asked.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))  # of one page's subtrees
-    kept = F.filter("segs", lambda s: ~F.arrays_overlap(s["under"], F.coalesce("gone", F.array().cast("array<bigint>"))))
+    may_change = F.size("spans") > 0
+    asked = trees.where(may_change).select("row", "host", F.explode("spans").alias("span")).select("row", "host", F.col("span.hash").alias("hash"), "span")
+    gone = asked.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("span.from", "span.to")).alias("gone"))  # of one page's subtrees
+    taken = lambda i: F.exists("gone", lambda g: (g["from"] <= i) & (i < g["to"]))
+    kept = F.when(F.col("gone").isNull(), F.col("segs")).otherwise(F.filter("segs", lambda s, i: ~taken(i)))
     changed = trees.where(may_change).join(gone, "row", "left").select("id", "url", kept.alias("segs"))
     whole = trees.where(~may_change).select("id", "url", "segs")
-    text = F.array_join(F.col("segs.text"), "\n\n")
+    text = F.array_join("segs", "\n\n")
     return whole.unionAll(changed).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))

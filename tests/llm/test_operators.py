@@ -575,6 +575,42 @@ def test_main_text(spark):
     assert html_text.main_text(pages(spark).where("false")).count() == 0
 
 
+def test_markup_of_any_shape():
+    blocks = lambda html: html_text.segments(html)[1]
+    assert blocks("<div>" * 5000 + "deep" + "</div>" * 5000) == ["deep"] and blocks("<div>a" * 3000) == ["a"] * 3000
+    assert blocks('<article><p>one</p></article><div><article><p>two</p></article></div><article class="comment"><p>no</p></article>') == ["one", "two"]
+    assert blocks('<p class="post notice-board">a</p><p class="social science">b</p><article><p class="share-price">c</p></article>') == ["c"]
+    assert blocks('<p class="post notice-board">a</p><p class="social science">b</p><div class="site-footer">x</div><ul class="comment-list">y</ul><i class="ad">z</i>') == ["a", "b"]
+    assert blocks('<p>see <a href="x>link</a> more</p>') == ["see link more"] and blocks('<p title="a > b">t</p><p a=b"c>q') == ["t", "q"]
+
+
+def test_recurring_subtrees_as_by_brute_force(spark):
+    """Blocks of random pages: those inside an element that stands on five pages of the host or more go."""
+    import random
+
+    r = random.Random(2)
+    shared = [f"<section><h3>{k} more</h3><p>of site {k}</p></section>" for k in range(6)]
+    data, want = [], {}
+    for k in range(60):
+        host = r.choice(["a.org", "b.org", "c.org"])
+        data.append((k, host, [r.choice(shared) if r.random() < 0.5 else f"<section><p>own {k} {j}</p></section>" for j in range(6)], k % 7 == 0))
+    on = Counter()
+    for _, host, parts, _ in data:
+        on.update({(host, x) for x in parts})
+    for k, host, parts, article in data:
+        out = []
+        for x in parts:
+            if article or on[host, x] < 5:
+                out += re.findall(r"<(?:h3|p)>(.*?)</", x)
+        want[k] = "\n\n".join(out)
+    html = [(k, f"http://{host}/{k}", "".join(["<body>", "<article>" * a, *parts, "</article>" * a]), 1) for k, host, parts, a in data]
+    df = spark.createDataFrame(html, "page_id long, url string, html string, segs int")
+    got = {x.page_id: x.text for x in html_text.main_text(df).collect()}
+    assert got == want and any(n >= 5 for n in on.values()) and any(n < 5 for (_, x), n in on.items() if "of site" in x)
+    again = html_text.main_text(df.unionAll(df)).collect()  # repeated rows count as pages
+    assert len(again) == 120
+
+
 # quality model
 
 
