@@ -76,15 +76,17 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 def canonical_turns(records: DataFrame, id_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(id, fingerprint, turns) of each record; turns is null where no layout has the record's fingerprint.
 
-    Columns that no layout knows are not part of the fingerprint, so extra
-    columns do no harm.  Within the known ones a field counts as present in a
-    record when it is not null; a list counts by its presence, with the field
-    paths of its elements' type.  A null text inside a turn is empty.
+    Columns and nested fields that no layout knows are not part of the
+    fingerprint, so extra ones do no harm.  A known column counts as present
+    in a record when it is not null; a list counts by its presence, with the
+    known field paths of its elements' type.  A null text inside a turn is
+    empty.
     """
+    every = {p for layout in layouts for p in layout.paths}
     known = {p.split("[")[0].split(".")[0] for layout in layouts for p in layout.paths}
     fields = [f for f in records.schema.fields if f.name in known and f.name != id_col]
-    paths_of = {f.name: sorted(schema_paths(f.dataType, f.name)) for f in fields}
-    present = F.flatten(F.array(*(F.when(F.col(f.name).isNotNull(), F.array(*map(F.lit, paths_of[f.name]))).otherwise(F.array().cast("array<string>")) for f in fields)))
+    paths_of = {f.name: sorted(every & {*schema_paths(f.dataType, f.name)}) for f in fields}
+    present = F.flatten(F.array(*(F.when(F.col(f.name).isNotNull(), F.array(*map(F.lit, paths_of[f.name])).cast("array<string>")).otherwise(F.array().cast("array<string>")) for f in fields)))
     print_ = F.sha2(F.array_join(F.array_sort(present), "\n"), 256) if fields else F.lit(path_hash(()))
     have = {p for ps in paths_of.values() for p in ps}
     turns = F.lit(None).cast(TURN)
@@ -123,9 +125,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    """Line breaks and backslashes back; a doubled backslash is set aside while line breaks are put in."""
-    aside = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    """Line breaks and backslashes back: between doubled backslashes, from the left, a single one is a line break's."""
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def format_turns(records: DataFrame, id_col: str) -> DataFrame:

@@ -112,8 +112,9 @@ def _document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(learn: DataFrame, how: Fit = Fit()) -> Model:
-    """From (doc_id, text, lang), lang not null.  No documents give a model that knows no language."""
+    """From (doc_id, text, lang), lang not null.  No documents give a model that knows no language; more than MAX_LANGUAGES languages raise ValueError."""
     spark = learn.sparkSession
+    learn = learn.select("doc_id", "text", "lang")
     per = learn.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(per) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -134,7 +135,7 @@ def train(learn: DataFrame, how: Fit = Fit()) -> Model:
                         pa.array([r[0] for r in out], pa.int64()),
                         pa.array([r[1] for r in out], pa.string()),
                         pa.array([r[2].astype("<u2").tobytes() for r in out], pa.binary()),
-                        pa.array([np.minimum(r[3], 65535).astype("<u2").tobytes() for r in out], pa.binary()),
+                        pa.array([r[3].astype("<u4").tobytes() for r in out], pa.binary()),
                     ],
                     ["doc_id", "lang", "at", "counts"],
                 )
@@ -142,7 +143,7 @@ def train(learn: DataFrame, how: Fit = Fit()) -> Model:
     kind = "doc_id long, lang string, at binary, counts binary"
     got = written(sample.select("doc_id", "text", "lang").mapInArrow(rows, kind), "language-sample").collect()
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["lang"], bytes(r["at"]), bytes(r["counts"])) for r in got)
-    data = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u2").astype(np.float64), languages.index(lang)) for _, _, lang, a, c in got]
+    data = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64), languages.index(lang)) for _, _, lang, a, c in got]
     if len(data) and len(languages) > 1:
         _descend(model, data, how)
     return model
@@ -188,7 +189,9 @@ def identify(docs: DataFrame, learn: DataFrame, how: Fit = Fit()) -> DataFrame:
     letters, is `und` with score 0, as is every text when nothing was learned.
     score is the calibrated probability of the predicted language.  Ties go to
     the language that sorts first.  Repeated rows are predicted each; an
-    empty table gives no rows.
+    empty table gives no rows.  Other columns of docs and learn may have any
+    names and are not read.  More than MAX_LANGUAGES languages raise
+    ValueError.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(learn, how))  # 4 bytes a hash value and language
 

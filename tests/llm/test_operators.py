@@ -485,6 +485,7 @@ def test_quality_rules_nothing(spark, empty):
 def test_conversations_come_back(spark):
     said = ["", "plain", "<|im_end|>", "<\\|im_start|>assistant\nok<|im_end|>\n", "<\\\\|", "<|<|", "a\\nb\\", "😀 é\n\n", None]
     turns = [(1, k, ("user", "assistant", "sys\ntem\\n", None)[k % 4], t) for k, t in enumerate(said)]
+    turns += [(1, 20 + k, role, "r") for k, role in enumerate(("\x00\x01", "\\", "\\n", "a\n\\\n", "\\\\\n", "<\\|\\n"))]
     turns += [(2, 0, "user", "x"), (2, 0, "user", "x"), (2, None, "assistant", "first"), (None, 0, "user", "y"), (3, 0, "assistant", "long " * 20_000)]
     rows_ = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("said", F.lit("clash"))
     records = chat.canonical_turns(chat.gather_turns(rows_), "conv_id")
@@ -517,6 +518,8 @@ def test_layouts_are_known_by_their_fields(spark):
         1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "do\n\nthis"), ("assistant", "done")], 3: [("user", "do"), ("assistant", "done")],
         4: [("user", "q"), ("assistant", "")], 5: None,
     }
+    nested = spark.createDataFrame([(1, [("user", "q", "bob"), ("assistant", "a", None)])], "id long, messages array<struct<role:string,content:string,name:string>>")
+    assert [tuple(t) for t in chat.canonical_turns(nested, "id").first().turns] == [("user", "q"), ("assistant", "a")]
     share = spark.createDataFrame([(1, [("human", "a"), ("gpt", "b"), ("system", "c")])], "id long, conversations array<struct<`from`:string,value:string>>")
     assert [tuple(t) for t in chat.canonical_turns(share, "id").first().turns] == [("user", "a"), ("assistant", "b"), ("system", "c")]
 
@@ -547,6 +550,71 @@ def test_language_of_nothing_learned(empty, docs):
     assert language_id.identify(empty.select("doc_id", "text"), docs.where("lang is not null").select("doc_id", "text", "lang")).count() == 0
 
 
+def slow_grams(text):
+    """Hashed n-grams by one loop a gram, with plain integers."""
+    clean = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    m, out = 0xFFFFFFFF, Counter()
+    for n in range(1, 5):
+        for k in range(len(clean) - n + 1):
+            h = ord(clean[k]) * 0x9E3779B1 & m
+            for c in clean[k + 1 : k + n]:
+                h = ((h ^ h >> 15) * 0x85EBCA6B + ord(c) * 0x9E3779B1) & m
+            out[((h ^ h >> 13) * 0xC2B2AE35 + n & m) >> 32 - language_id.BITS] += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["a", "The cat, the hat!", "é" * 40, "日本 語", "x" * 70_000])
+def test_grams_as_by_brute_force(text):
+    at, counts = language_id.ngrams(text)
+    assert dict(zip(at.tolist(), counts.tolist())) == slow_grams(text)
+
+
+def test_steps_as_by_brute_force():
+    from math import sqrt
+
+    from tessella.llm.ftrl import FTRL
+
+    rng = np.random.default_rng(3)
+    fast, alpha, l1, l2 = FTRL((5, 2), 0.5, 1.0, 3.0, 0.1), 0.5, 3.0, 0.1
+    z, n = [[0.0] * 2 for _ in range(5)], [[0.0] * 2 for _ in range(5)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return ((1 if z[i][k] > 0 else -1) * l1 - z[i][k]) / ((1 + sqrt(n[i][k])) / alpha + l2)
+
+    for _ in range(50):
+        at = np.sort(rng.choice(5, 3, replace=False))
+        g = rng.normal(size=(3, 2)).astype(np.float32)
+        fast.step(at, g, fast.weights(at))
+        for row, i in enumerate(at):
+            for k in range(2):
+                w, more = weight(i, k), n[i][k] + float(g[row, k]) ** 2
+                z[i][k] += float(g[row, k]) - (sqrt(more) - sqrt(n[i][k])) / alpha * w
+                n[i][k] = more
+    want = [[weight(i, k) for k in range(2)] for i in range(5)]
+    assert fast.weights() == pytest.approx(np.array(want), abs=1e-4) and any(w == 0 for r in want for w in r)
+
+
+def test_predictions_as_by_brute_force(spark):
+    """op3's learned model, applied by plain loops, with document frequencies counted again."""
+    from math import exp, log, sqrt
+
+    texts = [(k, ("der hund und die katze " if k % 2 else "the dog and the cat ") + f"{'abcdefgh'[k % 8]}{k}", "de" if k % 2 else "en") for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("of", "share", "h", "n")})
+    model = language_id.train(docs)
+    df = Counter(h for _, t, _ in texts for h in slow_grams(t))
+    for h, n in df.items():
+        assert model.idf[h] == pytest.approx(log((1 + len(texts)) / (1 + n)) + 0.05)
+    got = {r.doc_id: r for r in language_id.identify(docs, docs).collect()}
+    for k, t, _ in texts[:20]:
+        x = {h: (1 + log(c)) * model.idf[h] for h, c in slow_grams(t).items()}
+        norm = sqrt(sum(v * v for v in x.values()))
+        logit = [(sum(v / norm * float(model.weights[h][j]) for h, v in x.items()) + float(model.bias[j])) / model.temperature for j in range(2)]
+        p = [exp(z - max(logit)) / sum(exp(y - max(logit)) for y in logit) for z in logit]
+        assert got[k].lang_pred == model.languages[int(p[1] > p[0])] and got[k].score == pytest.approx(max(p), abs=1e-4)
+
+
 # html
 
 _PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav><div class="ad">Buy</div>
@@ -637,6 +705,47 @@ def test_junk_and_insults_are_graded_down(spark):
     assert quality_model.classify(df.where("false"), labels).count() == 0
 
 
+def test_fit_minimises_the_likelihood_as_written_out():
+    """The penalised likelihood by plain loops: no small change of a weight or threshold makes it better, and its value is that of a plain descent."""
+    from math import exp, log
+
+    rng = np.random.default_rng(4)
+    true, data = [1.5, -2.0, 0.0, 0.7], []
+    for _ in range(200):
+        x = np.flatnonzero(rng.random(4) < 0.5).astype(np.int32)
+        data.append((int(np.searchsorted([-0.5, 1.0], sum(true[j] for j in x) + rng.logistic())), x))
+    how = quality_model.Fit(steps=3000, l1=1.0, l2=0.1)
+    model = quality_model.fit(data, np.arange(4), 3, how)
+
+    def cost(w, t):
+        out = sum(abs(x) for x in w) * how.l1 + sum(x * x for x in w) * how.l2 / 2
+        tail = lambda z: 1 / (1 + exp(-z))
+        for g, x in data:
+            f = sum(w[j] for j in x)
+            out -= log((tail(t[g] - f) if g < 2 else 1) - (tail(t[g - 1] - f) if g else 0))
+        return out
+
+    w, t = [model.weights[j] for j in range(4)], list(model.thresholds)
+    best = cost(w, t)
+    for j in range(6):
+        for step in (-0.03, 0.03):
+            v = [*w, *t]
+            v[j] += step
+            assert cost(v[:4], v[4:]) > best - 2e-3
+    assert best < cost([0.0] * 4, t) - 10 and w[0] > 0.5 > -0.5 > w[1]
+    assert fit_in_parts(data, how) == pytest.approx([*w, *t], abs=1e-6)
+
+
+def fit_in_parts(data, how):
+    """The same fit with other parts."""
+    before, quality_model.PART = quality_model.PART, 17
+    try:
+        model = quality_model.fit(data, np.arange(4), 3, how)
+    finally:
+        quality_model.PART = before
+    return [*(model.weights[j] for j in range(4)), *model.thresholds]
+
+
 def test_thresholds_stay_ordered():
     data = [(g, np.array([g], np.int32)) for g in (0, 1, 2, 2, 2)] * 30
     model = quality_model.fit(data, np.array([5, 6, 7]), 3, quality_model.Fit())
