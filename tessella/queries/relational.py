@@ -311,10 +311,10 @@ def aggregate_booleans(t):
     return t.orders.groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 100000).alias("big"), F.bool_or(F.col("o_totalprice") > 400000).alias("any_huge"))
 
 
-@query("SELECT abs(count(DISTINCT l_partkey) - count(DISTINCT l_partkey)) AS off FROM lineitem")
+@query("SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem")
 def approximate_distinct_within_bounds(t):
     both = t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b"))
-    return both.select(F.when(F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b"), 0).otherwise(1).cast("long").alias("off"))
+    return both.select(F.col("b").alias("n"), (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("near"))
 
 
 @query("SELECT quantile_disc(l_quantity, 0.5) AS middle FROM lineitem")
@@ -489,23 +489,43 @@ def expand(t):
     return rows.expand(t.orders, [[key, F.lit("status"), F.col("o_orderstatus")], [key, F.lit("priority"), F.col("o_orderpriority")]], ["o_orderkey", "kind", "v"])
 
 
-# exchanges: the partitioning differs, the rows do not
+# exchanges: the partitioning differs and is checked, the rows do not
 
-_COUNTS = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"
+_COUNTS = "SELECT o_orderstatus, count(*) AS n, true AS dealt FROM orders GROUP BY 1"
+
+
+def _one_partition(df, key):
+    """Whether each key is in one partition."""
+    return df.groupBy(key).agg(F.count_distinct("pid").alias("k")).agg((F.max("k") == 1).alias("dealt"))
+
+
+def _ranges(df, key):
+    """Whether partitions are ranges of the key that do not overlap, and more than one."""
+    ends = df.groupBy("pid").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))  # a row a partition
+    before = ends.withColumn("before", F.lag("hi").over(Window.orderBy("lo")))
+    return before.agg(((F.count_if(F.col("before") > F.col("lo")) == 0) & (F.count("*") > 1)).alias("dealt"))
+
+
+def _even(df):
+    """Whether eight partitions have about as many rows each: each task of the scan deals its rows in turn."""
+    ends = df.groupBy("pid").agg(F.count("*").alias("n"))
+    return ends.agg(((F.count("*") == 8) & (F.max("n") - F.min("n") <= 0.05 * F.max("n") + 32)).alias("dealt"))
 
 
 def _register_exchanges():
     kinds = {
-        "hash": lambda df: rows.by_hash(df, 8, "o_custkey"),
-        "range": lambda df: rows.by_range(df, 8, "o_orderkey"),
-        "round_robin": lambda df: rows.round_robin(df, 8),
-        "single": rows.single,
-        "rebalance": lambda df: rows.rebalanced(df, "o_orderstatus"),
+        "hash": (lambda df: rows.by_hash(df, 8, "o_custkey"), lambda df: _one_partition(df, "o_custkey")),
+        "range": (lambda df: rows.by_range(df, 8, "o_orderkey"), lambda df: _ranges(df, "o_orderkey")),
+        "round_robin": (lambda df: rows.round_robin(df, 8), _even),
+        "single": (rows.single, lambda df: df.agg((F.count_distinct("pid") == 1).alias("dealt"))),
+        "rebalance": (lambda df: rows.rebalanced(df, "o_orderstatus"), lambda df: df.agg((F.count_distinct("pid") <= 64).alias("dealt"))),
     }
-    for name, deal in kinds.items():
+    for name, (deal, check) in kinds.items():
 
-        def run(t, deal=deal):
-            return deal(t.orders.select("o_orderstatus", "o_custkey", "o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+        def run(t, deal=deal, check=check):
+            dealt = deal(t.orders.select("o_orderstatus", "o_custkey", "o_orderkey"))
+            counts = dealt.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+            return counts.crossJoin(F.broadcast(check(dealt.withColumn("pid", F.spark_partition_id()))))  # one row
 
         query(_COUNTS, f"exchange_{name}")(run)
 
