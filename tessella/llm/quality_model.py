@@ -24,7 +24,6 @@ from math import fsum, log
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from tessella.llm.common import tidy, utf8_batches, written
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6)
 #: Words that a worker remembers at once; longer words are never remembered.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 40
+REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 #: Documents whose features are summed at once in a step of the fit.
 PART = 1024
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -213,7 +212,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, how: Fit = Fit(), id
 
 def _fitted(batches: Iterator[pa.RecordBatch], grades: int, how: Fit) -> Iterator[pa.RecordBatch]:
     """Of the whole sample (id, grade, features): rows (feature, weight), and thresholds as features -1, -2, ...; no rows of a sample of none."""
-    rows = sorted((i, g, x) for b in batches for i, g, x in zip(*(b.column(k).to_pylist() for k in range(3))))
+    rows = sorted((i, g, x) for parts in utf8_batches(batches, ["id", "grade", "features"]) for i, g, x in zip(*parts))
     if not rows:
         return
     counts, sizes = np.zeros((grades, 1 << BITS), np.int32), np.zeros(grades, np.int64)
@@ -236,12 +235,14 @@ def scorer(docs: DataFrame, model: Model):
     """A function of a text column: the latent score of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model.weights)  # at most a weight a hash value
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = sent.value
         of = Scorer(weights).score if weights is not None else lambda text: 35.0
         for texts in parts:
-            yield pd.Series([of(t or "") for t in texts], dtype="float64")
+            # a few texts at a time as Python strings: a batch may be of many long ones
+            scores = [of(t or "") for at in range(0, len(texts), 64) for t in texts.slice(at, 64).to_pylist()]
+            yield pa.array(scores, pa.float64())
 
     return score
 
