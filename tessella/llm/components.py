@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, written
+from tessella.llm.common import discard, tidy, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,6 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = sums
         before, now = now, written(_stars(_stars(now, True), False), "stars")
         discard(before)
+        tidy(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
