@@ -16,15 +16,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, semi, utf8_batches, written
+from tessella.llm.common import SPACE, discard, semi, utf8_batches, written
 
 PRIMES = (2147483647, 2147483629)
 POINTS = (1299709321, 1878230267)
 CHUNK = 1 << 16
-WORDS = 1 << 17
+#: Least and most words of 64 bits in the filter of copies, which is broadcast; between them it has 16 bits a copy.
+WORDS, MOST_WORDS = 1 << 17, 1 << 20
 _DELETED = b" \t\n\x0b\x0c\r"
 
 
@@ -87,24 +88,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(hashed, "id long, n_chars long, h long, length long, text_sha256 string")
 
 
-def _filter_of(ids: DataFrame) -> DataFrame:
-    """(word, bits) of a Bloom filter with one hash over the ids: WORDS rows at most, however many ids."""
+def _words_for(ids: int) -> int:
+    """A power of two."""
+    return min(MOST_WORDS, max(WORDS, 1 << max(0, ids - 1).bit_length() >> 2))
+
+
+def _filter_of(ids: DataFrame, words: int) -> DataFrame:
+    """(word, bits) of a Bloom filter with one hash over the ids: so many rows at most, however many ids."""
     hashed = ids.select(F.xxhash64("id").alias("x"))
     bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
-    return hashed.select(_word(F.col("x")).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return hashed.select(_word(F.col("x"), words).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
 
+def _word(x, words: int):
+    return F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int")
 
-def _word(x):
-    return F.pmod(F.shiftrightunsigned(x, 6), F.lit(WORDS)).cast("int")
+
+def _row(sha) -> Column:
+    """What tells rows apart: the id, null or not, and the text."""
+    return F.concat_ws(":", F.col("id").cast("string"), sha)
 
 
 def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """Ids of members (id, h, length, leader) whose normalised text differs from their leader's.
+    """The rows (row) of members (row, id, h, length, leader) whose normalised text differs from their leader's.
 
-    A filter of fixed size keeps most texts without copies from being
-    shuffled; what it lets through by chance the join drops.  Merge joins move
-    the same share of the input at every size.
+    A filter of bounded size keeps most texts without copies from being
+    shuffled; what it lets through by chance, which is more where copies are
+    beyond its bound, the join drops.  Merge joins move the same share of the
+    input at every size.
     """
+    words = _words_for(members.count())
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", "")
     n = F.ceil(F.length("norm") / chunk).cast("int")
     part = F.transform(
@@ -112,13 +125,18 @@ def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
         lambda k: F.struct(k.alias("k"), F.col("norm").substr(k * chunk + 1, F.lit(chunk)).alias("chunk")),
     )
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col)).withColumn("x", F.xxhash64("id"))
-    maybe = rows.join(F.broadcast(_filter_of(members)), _word(F.col("x")) == F.col("word"))  # WORDS rows of 12 bytes at most
+    maybe = rows.join(F.broadcast(_filter_of(members, words)), _word(F.col("x"), words) == F.col("word"))  # MOST_WORDS rows of 12 bytes at most
     maybe = maybe.where(F.expr("(shiftrightunsigned(bits, cast(x & 63 as int)) & 1) = 1")).select("id", text.alias("norm"))
-    chunks = maybe.join(members.hint("merge"), "id").select("id", "h", "length", "leader", F.inline(part))
+    maybe = maybe.select(_row(F.sha2("norm", 256)).alias("row"), "norm")
+    chunks = maybe.join(members.drop("id").hint("merge"), "row").select("row", "h", "length", "leader", F.inline(part))
     chunks = written(chunks, "chunks")
-    leaders = chunks.where("id = leader").select("h", "length", "leader", "k", F.col("chunk").alias("of_leader"))
-    both = chunks.where("id <> leader").join(leaders.hint("merge"), ["h", "length", "leader", "k"], "left")
-    return both.where(~F.col("chunk").eqNullSafe(F.col("of_leader"))).select("id").distinct()
+    at = ["h", "length", "leader", "k"]
+    leaders = chunks.where("row = leader").groupBy(*at).agg(F.first("chunk").alias("of_leader"))  # once, though its row may be repeated
+    both = chunks.where("row <> leader").join(leaders.hint("merge"), at, "left")
+    differing = both.where(~F.col("chunk").eqNullSafe(F.col("of_leader"))).select("row").distinct()
+    differing = written(differing, "differing")
+    discard(chunks)
+    return differing
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -128,10 +146,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     breaks; null equals empty.  Of equal texts the row with the most code
     points stays, then the smallest id.  Rows that share an id are copies if
     their texts are equal: all of them carry the verdict of that id, and
-    group_size counts them; different texts under one id go by the
-    fingerprint alone.  A null id is never preferred over another; a group of
-    null ids only has no keep_id and keeps its rows.  An empty table gives no
-    rows.
+    group_size counts them; different texts under one id are rows of different
+    groups.  A null id is never preferred over another; a group of null ids
+    only has no keep_id and keeps its rows.  An empty table gives no rows.
 
     Groups are counted by partial aggregates; a hot group's rows meet in no
     single task, since the joins that follow are ones Spark can split.
@@ -139,21 +156,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(fingerprints(docs, id_col, text_col, chunk), "fingerprints")
     key = ["h", "length"]
     several = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    texts = rows.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in key for f in (F.min, F.max)))
-    ambiguous = texts.where("id is not null and (min_h <> max_h or min_length <> max_length)").select("id")
-    copies = rows.where("id is not null").join(several, key, "left_semi").join(ambiguous, "id", "left_anti").select("id", *key).distinct()
-    members = written(copies.join(copies.groupBy(*key).agg(F.min("id").alias("leader")), key), "members")
+    each = rows.withColumn("row", _row(F.col("text_sha256")))
+    copies = each.join(several, key, "left_semi").select("row", "id", *key).distinct()
+    led = copies.groupBy(*key).agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = written(copies.join(led, key), "members")
     classes = rows.withColumn("class", F.lit(0))
     level = 0
     while True:
-        odd = written(_differing(docs, members, id_col, text_col, chunk), "differing")
+        odd = _differing(docs, members, id_col, text_col, chunk)
         if odd.isEmpty():
             break
         # a collision of fingerprints: the odd ones form a class with a leader of its own
         level += 1
-        classes = classes.join(odd.withColumn("odd", F.lit(1)), "id", "left").withColumn("class", F.when(F.col("odd") == 1, level).otherwise(F.col("class"))).drop("odd")
-        rest = members.join(odd, "id").drop("leader")
-        leaders = rest.groupBy(*key).agg(F.min("id").alias("leader"))
+        mark = odd.select(F.col("row").alias("odd"))
+        classes = classes.join(mark, _row(F.col("text_sha256")) == F.col("odd"), "left")
+        classes = classes.withColumn("class", F.when(F.col("odd").isNotNull(), level).otherwise(F.col("class"))).drop("odd")
+        rest = members.join(odd, "row").drop("leader")
+        leaders = rest.groupBy(*key).agg(F.min("row").alias("leader"))
         members = written(rest.join(leaders, key), "members")
     key = [*key, "class"]
     best = F.struct((-F.col("n_chars")).alias("chars"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
@@ -165,5 +184,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, their columns untouched."""
+    """The rows of docs that exact_duplicates keeps, their columns untouched.
+
+    Rows that share an id stay or go together: one of them that is kept keeps
+    all, copies under that id too.
+    """
     return semi(docs, exact_duplicates(docs, id_col, text_col).where("kept").select(id_col), id_col)

@@ -279,6 +279,27 @@ def test_equal_fingerprints_are_compared(docs, monkeypatch):
     assert out == {i: w[:2] for i, w in want.items()}
 
 
+def test_rows_of_null_or_repeated_ids_are_compared_too(spark, monkeypatch):
+    """Null ids, different texts under one id, and repeated rows, by a fingerprint that says nothing."""
+    import tessella.llm.exact_dedup as m
+
+    real = m.fingerprints
+    monkeypatch.setattr(m, "fingerprints", lambda *a, **k: real(*a, **k).withColumn("h", F.lit(1).cast("long")).withColumn("length", F.lit(1).cast("long")))
+    data = [(None, "a b"), (None, "a b"), (None, "c"), (7, "a b "), (7, "c"), (7, "c"), (8, "ab"), (9, "c c"), (None, None), (3, " "), (3, " "), (3, "x" * 40), (None, "x" * 39 + "y")]
+    out = m.exact_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(3), chunk=16).collect()
+    groups = defaultdict(list)
+    for i, t in data:
+        groups[norm(t)].append((-len(t or ""), i is None, i))
+    best = {t: (min(g, key=lambda r: r[:2] + (r[2] or 0,))[2], len(g)) for t, g in groups.items()}
+    want = Counter((i, *best[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in data)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in out)
+
+
+def test_the_filter_of_copies_grows_with_them():
+    assert [exact_dedup._words_for(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 1 << 40)] == [1 << 17, 1 << 17, 1 << 17, 1 << 18, 1 << 20]
+
+
 def test_exact_dedup_nothing(empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
