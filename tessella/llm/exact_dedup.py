@@ -26,6 +26,8 @@ POINTS = (1299709321, 1878230267)
 CHUNK = 1 << 16
 #: Least and most words of 64 bits in the filter of copies, which is broadcast; between them it has 16 bits a copy.
 WORDS, MOST_WORDS = 1 << 17, 1 << 20
+#: Groups of two or more such parts of all rows are dealt to a key for each part before they are joined.
+PARTS = 1000
 _DELETED = b" \t\n\x0b\x0c\r"
 
 
@@ -104,13 +106,31 @@ def _word(x, words: int):
     return F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows with the columns of their group, of groups (key, n, ...), which is a written table of one row a group.
+
+    A group of n rows gets a key for each PARTS-th of all rows in it, PARTS in
+    all at most, so that no task meets a whole large group.  The large groups
+    are PARTS / 2 at most, and only those are broadcast.
+    """
+    split = groups.withColumn("salts", F.greatest(F.lit(1), F.floor(F.col("n") * PARTS / max(1, total)).cast("int")))
+    large = split.where("salts > 1").select(*key, F.col("salts").alias("dealt"))
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("dealt")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("salt", salt).drop("dealt")
+    return dealt.join(split.select("*", _salts()).hint("merge"), [*key, "salt"]).drop("salt")
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+
+
 def _row(sha) -> Column:
     """What tells rows apart: the id, null or not, and the text."""
     return F.concat_ws(":", F.col("id").cast("string"), sha)
 
 
 def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """The rows (row) of members (row, id, h, length, leader) whose normalised text differs from their leader's.
+    """The rows (row) of members (row, id, h, length, leader, salts) whose normalised text differs from their leader's.
 
     A filter of bounded size keeps most texts without copies from being
     shuffled; what it lets through by chance, which is more where copies are
@@ -128,11 +148,13 @@ def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     maybe = rows.join(F.broadcast(_filter_of(members, words)), _word(F.col("x"), words) == F.col("word"))  # MOST_WORDS rows of 12 bytes at most
     maybe = maybe.where(F.expr("(shiftrightunsigned(bits, cast(x & 63 as int)) & 1) = 1")).select("id", text.alias("norm"))
     maybe = maybe.select(_row(F.sha2("norm", 256)).alias("row"), "norm")
-    chunks = maybe.join(members.drop("id").hint("merge"), "row").select("row", "h", "length", "leader", F.inline(part))
+    chunks = maybe.join(members.drop("id").hint("merge"), "row").select("row", "h", "length", "leader", "salts", F.inline(part))
     chunks = written(chunks, "chunks")
     at = ["h", "length", "leader", "k"]
-    leaders = chunks.where("row = leader").groupBy(*at).agg(F.first("chunk").alias("of_leader"))  # once, though its row may be repeated
-    both = chunks.where("row <> leader").join(leaders.hint("merge"), at, "left")
+    leaders = chunks.where("row = leader").groupBy(*at, "salts").agg(F.first("chunk").alias("of_leader"))  # once, though its row may be repeated
+    leaders = leaders.select(*at, "of_leader", _salts())
+    others = chunks.where("row <> leader").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"))
+    both = others.join(leaders.hint("merge"), [*at, "salt"], "left")
     differing = both.where(~F.col("chunk").eqNullSafe(F.col("of_leader"))).select("row").distinct()
     differing = written(differing, "differing")
     discard(chunks)
@@ -150,16 +172,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups.  A null id is never preferred over another; a group of null ids
     only has no keep_id and keeps its rows.  An empty table gives no rows.
 
-    Groups are counted by partial aggregates; a hot group's rows meet in no
-    single task, since the joins that follow are ones Spark can split.
+    Groups are counted by partial aggregates, and rows join their group's
+    result and their leader's text by salted keys: a hot group's rows meet in
+    no single task.
     """
     rows = written(fingerprints(docs, id_col, text_col, chunk), "fingerprints")
     key = ["h", "length"]
-    several = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    total = rows.count()
     each = rows.withColumn("row", _row(F.col("text_sha256")))
-    copies = each.join(several, key, "left_semi").select("row", "id", *key).distinct()
-    led = copies.groupBy(*key).agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(copies.join(led, key), "members")
+
+    def led(rest: DataFrame) -> DataFrame:
+        """Groups of two rows or more that differ in id or text, and the leader of each."""
+        out = rest.groupBy(*key).agg(F.count("*").alias("n"), F.min("row").alias("leader"), F.max("row").alias("last"))
+        return written(out.where("leader <> last").drop("last"), "leaders")
+
+    members = _with_group(each, led(each), key, total).select("row", "id", *key, "leader", "salts")
+    members = written(members.distinct(), "members")
     classes = rows.withColumn("class", F.lit(0))
     level = 0
     while True:
@@ -171,15 +199,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mark = odd.select(F.col("row").alias("odd"))
         classes = classes.join(mark, _row(F.col("text_sha256")) == F.col("odd"), "left")
         classes = classes.withColumn("class", F.when(F.col("odd").isNotNull(), level).otherwise(F.col("class"))).drop("odd")
-        rest = members.join(odd, "row").drop("leader")
-        leaders = rest.groupBy(*key).agg(F.min("row").alias("leader"))
-        members = written(rest.join(leaders, key), "members")
+        rest = written(members.join(odd, "row").select("row", "id", *key), "odd")
+        members = written(_with_group(rest, led(rest), key, total).select(*members.columns), "members")
     key = [*key, "class"]
     best = F.struct((-F.col("n_chars")).alias("chars"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    groups = classes.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
-    groups = groups.select(*key, "group_size", F.col("best.id").alias("keep_id"))
-    return classes.join(groups, key).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    groups = classes.groupBy(*key).agg(F.count("*").alias("n"), F.min(best).alias("best"))
+    groups = written(groups.select(*key, "n", F.col("best.id").alias("keep_id")), "groups")
+    return _with_group(classes, groups, key, total).select(
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 

@@ -296,6 +296,21 @@ def test_rows_of_null_or_repeated_ids_are_compared_too(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in out)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 1000])
+def test_large_groups_are_dealt_to_many_keys(spark, monkeypatch, parts):
+    """A third of all rows are copies and another third one row repeated; few, some and many keys give the same rows."""
+    monkeypatch.setattr(exact_dedup, "PARTS", parts)
+    data = [(i, "one text") for i in range(100)] + [(500, "another one")] * 100 + [(1000 + i, f"text {i % 90}") for i in range(100)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = exact_dedup.exact_duplicates(frame, chunk=3)
+    want = brute_copies(data)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out.collect()) == Counter((i, *want[i]) for i, _ in data)
+    rows = exact_dedup.fingerprints(frame)
+    groups = rows.groupBy("h", "length").agg(F.count("*").alias("n"))
+    dealt = exact_dedup._with_group(rows, groups, ["h", "length"], len(data))
+    assert dealt.agg(F.max("salts")).first()[0] == max(1, parts // 3) and dealt.count() == len(data)
+
+
 def test_the_filter_of_copies_grows_with_them():
     assert [exact_dedup._words_for(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 1 << 40)] == [1 << 17, 1 << 17, 1 << 17, 1 << 18, 1 << 20]
 
