@@ -71,5 +71,37 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, ho
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+#: Right sides of more rows than this are not broadcast in chunks.
+CHUNKED_ROWS = 1 << 20
+
+
+def _chunks(df: DataFrame, value: str, size_bits: int, rows: int, side: str) -> DataFrame:
+    """df in order of value as arrays of 2^size_bits rows at most, each with its id and its least and greatest value; null values go."""
+    parts, order = max(1, rows >> 14), [value, *(c for c in df.columns if c != value)]
+    dealt = df.where(F.col(value).isNotNull()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Ids count rows from 0 in each partition, whose number begins at bit 33.
+    chunk = F.shiftright(F.monotonically_increasing_id(), size_bits).alias(f"__{side}")
+    chunked = dealt.select(chunk, F.col(value).alias("__v"), F.struct(*df.columns).alias("__row")).repartition(parts, f"__{side}")
+    return chunked.groupBy(f"__{side}").agg(F.collect_list("__row").alias(f"__{side}s"), F.min("__v").alias(f"__{side}_low"), F.max("__v").alias(f"__{side}_high"))
+
+
+def less_join(left: DataFrame, right: DataFrame, low: str, high: str, pairs_a_task: int = 1 << 27, chunk_bits: int = 8) -> DataFrame:
+    """All pairs of rows with low (a column of left) < high (of right); the sides share no column name.
+
+    Both sides are sorted into chunks and only chunks whose ends can meet are
+    opened, so that the work is the result's plus a strip along its border.
+    Pairs of chunks are dealt over tasks in number as the pairs of rows, each
+    with some pairs_a_task at most: the result may grow with the square of the
+    input, a task does not.
+    """
+    m, n = left.count(), right.count()
+    a, b = _chunks(left, low, chunk_bits, m, "l"), _chunks(right, high, chunk_bits, n, "r")
+    cells = join(a, b, F.col("__l_low") < F.col("__r_high"), strategy="broadcast" if n <= CHUNKED_ROWS else "nested_loop")
+    tasks = min(10_000, max(1, -(-m * n // pairs_a_task)))
+    dealt = cells.select("__l", "__r", "__ls", "__rs").repartition(tasks, "__l", "__r")
+    opened = dealt.select(F.explode("__ls").alias("__a"), "__rs").select("__a", F.explode("__rs").alias("__b"))
+    return opened.where(F.col(f"__a.{low}") < F.col(f"__b.{high}")).select("__a.*", "__b.*")
+
+
 def range_condition(value: Column, low: Column, high: Column) -> Column:
     return (value >= low) & (value < high)

@@ -162,9 +162,9 @@ _register_joins()
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal - 9000")
 def join_nested_loop(t):
-    a, b = t.supplier.alias("a"), t.supplier.alias("b")
-    out = a.join(joins.broadcast_checked(b), F.col("a.s_acctbal") < F.col("b.s_acctbal") - 9000)
-    return out.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    a = t.supplier.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("low"))
+    b = t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_acctbal") - 9000).alias("high"))
+    return joins.less_join(a, b, "low", "high").select("a", "b")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
