@@ -45,3 +45,13 @@ def test_join_nested_loop_deals_its_pairs_over_tasks(spark, tmp_path):
             k += 1
         want += k
     assert sum(counts) == want and max(counts) < want / 4
+
+
+def test_approximate_distinct_keeps_no_sketch_a_key(spark, tmp_path):
+    key = F.when(F.col("id") % 10 != 0, F.col("id") % 20_000).alias("l_partkey")
+    for name, n, want in (("many", 60_000, 18_000), ("nulls", 1, 0), ("none", 0, 0)):
+        spark.range(0, n, 1, 2).select(key).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        out = QUERIES["approximate_distinct_within_bounds"](spark, f"{tmp_path}/{name}")
+        assert [tuple(r) for r in out.collect()] == [(want, True)]
+        aggregates = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in x]
+        assert aggregates and all("keys=[]" in x for x in aggregates)
